@@ -146,6 +146,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
 
     texts = rows.select("id", "th", "txt").join(marks, ["id", "th"])
     numbered = scratch.keep(texts.mapInArrow(number, "id long, th long, txt string, at array<int>, number array<long>"), "numbered")
+    scratch.drop("marks")
+    scratch.release()
     windows = numbered.select("id", "th", F.explode(F.arrays_zip("at", "number")).alias("w")).select("id", "th", "w.at", "w.number")
     least = windows.groupBy("number").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("number", "least")
     hits = windows.join(least, "number").where("id > least").groupBy("id", "th").agg(F.collect_set("at").alias("starts"))
