@@ -117,9 +117,13 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
     parsed_ids = parsed.where("id is not null")
     first = parsed_ids.groupBy("th", "tl").agg(F.min("id").alias("first"))
     occurrences = parsed_ids.select("id", "th", F.posexplode("symbols").alias("i", "s"))
-    shared = occurrences.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a != b").select("s")
+    # Written first: the join then reads two plain sides, of which Spark splits the hot one.
+    shared = scratch.keep(occurrences.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a != b").select("s"), "shared")
+    scratch.release()
     marks = occurrences.join(shared, "s").groupBy("id", "th").agg(F.collect_list("i").alias("shared"))
     marks = scratch.keep(marks.unionByName(parsed_ids.where("blind").select("id", "th", F.array().cast("array<int>").alias("shared"))).groupBy("id", "th").agg(F.flatten(F.collect_list("shared")).alias("shared")), "marks")
+    known = scratch.keep(parsed.select("id", "th", "tl", "n_words", "sha").join(first, ["th", "tl"], "left"), "known")
+    scratch.drop("parsed", "shared")
     scratch.release()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -149,7 +153,8 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
     scratch.drop("marks")
     scratch.release()
     windows = numbered.select("id", "th", F.explode(F.arrays_zip("at", "number")).alias("w")).select("id", "th", "w.at", "w.number")
-    least = windows.groupBy("number").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("number", "least")
+    least = scratch.keep(windows.groupBy("number").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("number", "least"), "least")
+    scratch.release()
     hits = windows.join(least, "number").where("id > least").groupBy("id", "th").agg(F.collect_set("at").alias("starts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +177,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
     scratch.release()
     whole = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
     everything = F.array(F.struct(F.lit(0).cast("long").alias("from"), F.col("n_words").alias("to"))).cast(removed_kind)
-    done = parsed.select("id", "th", "tl", "n_words", "sha").join(first, ["th", "tl"], "left").join(partly, ["id", "th"], "left")
+    done = known.join(partly, ["id", "th"], "left")
     return done.select(
         F.col("id").alias(id_col),
         "n_words",
