@@ -1,0 +1,37 @@
+"""Repair of irregular grids held as (row_no, col_no, text) cells."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.text import is_junk
+
+
+def drop_junk(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """Without leading all-junk rows, then without all-junk columns."""
+    real = ~is_junk(F.col("text"))
+    first = cells.where(real).groupBy(sheet).agg(F.min("row_no").alias("first_row"))
+    rows = cells.join(first, sheet).where("row_no >= first_row").drop("first_row")
+    return rows.join(rows.where(real).select(sheet, "col_no").distinct(), [sheet, "col_no"], "left_semi")
+
+
+def merge_header(cells: DataFrame, header_rows: int, sheet: str = "sheet") -> DataFrame:
+    """(sheet, col_no, name): levels of the first rows joined by '-'. An empty cell takes the value above
+    without adding a level, or else the nearest resolved value to its left."""
+    own = F.when(~is_junk(F.col("text")), F.trim("text"))
+    down = Window.partitionBy(sheet, "col_no").orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    left = Window.partitionBy(sheet, "row_no").orderBy("col_no").rowsBetween(Window.unboundedPreceding, 0)
+    head = cells.where(F.col("row_no") <= header_rows).withColumn("own", own)
+    head = head.withColumn("base", F.last("own", ignorenulls=True).over(down)).withColumn("beside", F.last("base", ignorenulls=True).over(left))
+    level = F.coalesce("own", F.when(F.col("base").isNull(), F.col("beside")))
+    levels = F.transform(F.array_sort(F.collect_list(F.struct("row_no", "level"))), lambda x: x["level"])
+    return head.withColumn("level", level).groupBy(sheet, "col_no").agg(F.array_join(F.array_distinct(levels), "-").alias("name"))
+
+
+def flatten_groups(cells: DataFrame, sheet: str = "sheet") -> DataFrame:
+    """Group rows, whose cells are all equal, become a column `grp` carried down to the rows below them."""
+    per_row = cells.groupBy(sheet, "row_no").agg(F.min("text").alias("a"), F.max("text").alias("b"), F.count("*").alias("n"))
+    order = Window.partitionBy(sheet).orderBy("row_no").rowsBetween(Window.unboundedPreceding, 0)
+    marked = per_row.withColumn("mark", F.when((F.col("a") == F.col("b")) & (F.col("n") > 1), F.col("a"))).withColumn("grp", F.last("mark", ignorenulls=True).over(order))
+    return cells.join(marked.where("mark is null").select(sheet, "row_no", "grp"), [sheet, "row_no"])
