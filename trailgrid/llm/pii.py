@@ -186,9 +186,10 @@ def report(documents: DataFrame) -> DataFrame:
     shown = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     found = find(documents)
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
+    of_kind = lambda k: F.filter("pii", lambda x: x["kind"] == k)
     return found.select(
         "doc_id",
-        *[F.size(F.filter("pii", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in BASE],
+        *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii", shown), ",").alias("spans"),
     )
