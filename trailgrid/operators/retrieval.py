@@ -1,0 +1,75 @@
+"""Documents of rows and columns, term and vector search."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+#: A term, and how many terms a vocabulary holds.
+TERM, VOCABULARY = r"\b(\w\w+)\b", 512
+
+
+def row_document(df: DataFrame) -> Column:
+    """`column: value | ...` of a row; nulls are empty."""
+    return F.concat_ws(" | ", *[F.concat(F.lit(f"{c}: "), F.coalesce(F.col(c).cast("string"), F.lit(""))) for c in df.columns])
+
+
+def column_documents(df: DataFrame, order: str, samples: int = 5) -> DataFrame:
+    """(column_no, name, document): each column with its values in the first rows by `order`, blanks left out."""
+    first = df.orderBy(order).limit(samples)  # a handful of rows
+    cells = F.array(*[F.struct(F.lit(i).alias("column_no"), F.lit(c).alias("name"), F.col(c).cast("string").alias("v")) for i, c in enumerate(df.columns)])
+    rows = first.select(F.col(order).alias("o"), F.explode(cells).alias("c")).select("o", "c.*")
+    values = F.transform(F.array_sort(F.collect_list(F.when(F.trim("v") != "", F.struct("o", "v")))), lambda x: x["v"])
+    return rows.groupBy("column_no", "name").agg(values.alias("vs")).select("column_no", "name", F.concat_ws(": ", "name", F.array_join("vs", ", ")).alias("document"))
+
+
+def term_counts(texts: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(id, term, tf)."""
+    terms = F.explode(F.regexp_extract_all(F.lower(text_col), F.lit(TERM), F.lit(1)))
+    return texts.select(F.col(id_col).alias("id"), terms.alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+
+
+def tfidf(texts: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = VOCABULARY) -> tuple[DataFrame, DataFrame]:
+    """((id, term, weight) with unit norm for each id, vocabulary (term, idf)): smoothed idf over the terms most frequent in the corpus."""
+    n = texts.count()
+    counts = term_counts(texts, id_col, text_col)
+    vocabulary = counts.groupBy("term").agg(F.sum("tf").alias("all"), F.count("*").alias("df")).orderBy(F.desc("all"), "term").limit(size)
+    vocabulary = vocabulary.select("term", (F.ln(F.lit(1.0 + n) / (1.0 + F.col("df"))) + 1).alias("idf"))
+    weighed = counts.join(F.broadcast(vocabulary), "term").select("id", "term", (F.col("tf") * F.col("idf")).alias("w"))  # at most `size` rows
+    norm = weighed.groupBy("id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    return weighed.join(norm, "id").select("id", "term", (F.col("w") / F.col("norm")).alias("weight")), vocabulary
+
+
+def tfidf_search(texts: DataFrame, query: str, k: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id, score): the k texts nearest to a query by cosine of tf-idf, ties to the smaller id."""
+    spark = texts.sparkSession
+    vectors, vocabulary = tfidf(texts, id_col, text_col)
+    asked = term_counts(spark.createDataFrame([(0, query)], "q long, t string"), "q", "t").join(vocabulary, "term").select("term", (F.col("tf") * F.col("idf")).alias("w"))
+    whole = asked.agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    asked = asked.crossJoin(F.broadcast(whole)).select("term", (F.col("w") / F.col("norm")).alias("qw"))  # the terms of one query
+    return vectors.join(F.broadcast(asked), "term").groupBy("id").agg(F.sum(F.col("weight") * F.col("qw")).alias("score")).orderBy(F.desc(F.round("score", 12)), "id").limit(k)
+
+
+def dot(a: Column, b: Column) -> Column:
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda t, x: t + x)
+
+
+def top_k(corpus: DataFrame, queries: DataFrame, k: int, most: int = 10_000) -> DataFrame:
+    """(qid, rank, id, score) by inner product. corpus: (id, v); queries: (qid, q), which are counted before they are broadcast.
+
+    Each task keeps its own best k of each query, so that the shuffle carries k rows a task and query at most.
+    """
+    n = queries.count()
+    if n > most:
+        raise ValueError(f"{n} queries, more than the {most} that are compared at a time; ask in blocks")
+    scored = corpus.crossJoin(F.broadcast(queries)).select("qid", "id", dot(F.col("v"), F.col("q")).alias("score"))
+    order = [F.desc("score"), "id"]
+    part = scored.withColumn("part", F.spark_partition_id())
+    near = part.withColumn("r", F.row_number().over(Window.partitionBy("qid", "part").orderBy(*order))).where(F.col("r") <= k)
+    return near.withColumn("rank", F.row_number().over(Window.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k).select("qid", "rank", "id", "score")
+
+
+def max_sim(query_tokens: DataFrame, doc_tokens: DataFrame) -> DataFrame:
+    """(id, score): late interaction, the sum over query tokens (qt, q) of the best inner product with a document's tokens (id, v)."""
+    best = doc_tokens.crossJoin(F.broadcast(query_tokens)).groupBy("id", "qt").agg(F.max(dot(F.col("v"), F.col("q"))).alias("m"))
+    return best.groupBy("id").agg(F.sum("m").alias("score"))
