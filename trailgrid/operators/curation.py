@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import any_of, strip
+from ..functions.code import presentation
 
 #: Marks of an infrastructure error in a result; clauses of a plan that speak of one; openings that only follow one.
 ERROR_MARKS = ("BFloat16", "ScalarType")
@@ -169,3 +170,62 @@ def gate_failures(records: DataFrame) -> DataFrame:
     last = F.coalesce(F.try_element_at("steps", F.lit(-1))["type"] == "final_answer", F.lit(False))
     tests = {"no question": empty("user"), "no final step": ~last, "no answer": empty("answer"), "no source": F.coalesce(F.size("tables"), F.lit(0)) <= 0, "marked error": F.coalesce(marked, F.lit(False))}
     return records.withColumn("failures", F.array_compact(F.array(*[F.when(test, name) for name, test in tests.items()])))
+
+
+def decompose(messages: DataFrame, anchors: DataFrame) -> DataFrame:
+    """messages (trace, pos, ...) with `sq`, the sub-question whose span they lie in; those before the first anchor go.
+
+    anchors (trace, sq, at): the message that asks a sub-question, null if none does; anchors of a trace rise with sq.
+    A span ends before the next matched anchor. One window over the messages, which the anchors only mark.
+    """
+    marks = anchors.where("at is not null").groupBy("trace", F.col("at").alias("pos")).agg(F.max("sq").alias("asked"))
+    spans = Window.partitionBy("trace").orderBy("pos")
+    marked = messages.join(marks, ["trace", "pos"], "left")
+    return marked.withColumn("sq", F.last("asked", ignorenulls=True).over(spans)).drop("asked").where("sq is not null")
+
+
+def unmatched(anchors: DataFrame) -> DataFrame:
+    """(trace, sq) of sub-questions that no message asks, in traces where some message asks one."""
+    any_found = F.max(F.col("at").isNotNull()).over(Window.partitionBy("trace"))
+    return anchors.withColumn("found", any_found).where("found and at is null").select("trace", "sq")
+
+
+def revalidate(records: DataFrame, code_tool: str = "python_code_executor") -> DataFrame:
+    """(dialog, sq, issue) of cleaned records (dialog, sq, steps, answer, old_answer), whose observations also have name and success.
+
+    Issues: empty steps, no final step, answer changed, unknown type, no calls, no observations, observation without id,
+    call without observation, observation without call, not recovered (an IndexError or NameError that no later success
+    of the same tool follows), repeated call, repeated observation (ids of a dialog), presentation call. A null old
+    answer is not compared. One row for each step or call with the issue.
+    """
+    ids = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<struct<id:string>>")), lambda x: F.coalesce(x["id"], F.lit(""))), lambda i: i != "")
+    none, size = F.array().cast("array<string>"), lambda a: F.coalesce(F.size(a), F.lit(0))
+    bare = lambda a: F.transform(a, lambda x: F.struct(x["id"].alias("id")))
+    fails = lambda o: F.coalesce(o["content"].rlike("IndexError|NameError"), F.lit(False))
+    works = lambda o: F.coalesce(o["success"], F.lit(False)) | F.coalesce(o["content"].rlike(r"\[SUCCESS\]|\[Success\]"), F.lit(False))
+
+    def of_step(s: Column, i: Column) -> Column:
+        later = F.slice("steps", i + 2, F.size("steps"))
+        mended = lambda o: F.exists(later, lambda t: (t["type"] == "tool_call") & F.coalesce(F.exists(t["observations"], lambda p: works(p) & (F.coalesce(p["name"], F.lit("")) != "") & (p["name"] == o["name"])), F.lit(False)))
+        lost = F.transform(F.filter(F.coalesce(s["observations"], F.array().cast(observation)), lambda o: fails(o) & ~F.coalesce(mended(o), F.lit(False))), lambda o: F.lit("not recovered"))
+        blank = F.transform(F.filter(F.coalesce(s["observations"], F.array().cast(observation)), lambda o: F.coalesce(o["id"], F.lit("")) == ""), lambda o: F.lit("observation without id"))
+        calls, seen = ids(bare(s["calls"])), ids(bare(s["observations"]))
+        tests = F.array_compact(
+            F.array(
+                F.when(size(s["calls"]) <= 0, "no calls"), F.when(size(s["observations"]) <= 0, "no observations"),
+                F.when(F.size(F.array_except(calls, seen)) > 0, "call without observation"), F.when(F.size(F.array_except(seen, calls)) > 0, "observation without call"),
+            )
+        )
+        return F.when(s["type"] == "final_answer", none).when(F.coalesce(s["type"] == "tool_call", F.lit(False)), F.concat(tests, lost, blank)).otherwise(F.array(F.lit("unknown type")))
+
+    observation = next(f.dataType for f in records.schema["steps"].dataType.elementType if f.name == "observations").simpleString()
+    final = F.exists("steps", lambda s: F.coalesce(s["type"] == "final_answer", F.lit(False)))
+    whole = F.array_compact(F.array(F.when(~final, "no final step"), F.when(F.col("old_answer").isNotNull() & ~F.col("answer").eqNullSafe(F.col("old_answer")), "answer changed")))
+    own = F.when(size(F.col("steps")) <= 0, F.array(F.lit("empty steps"))).otherwise(F.concat(whole, F.flatten(F.transform("steps", of_step))))
+    issues = records.select("dialog", "sq", F.explode(own).alias("issue"))
+    steps = records.select("dialog", "sq", F.posexplode("steps").alias("step", "s")).where("s.type = 'tool_call'")
+    calls = steps.select("dialog", "sq", "step", F.explode("s.calls").alias("c"))
+    used = calls.select("dialog", "sq", "step", F.lit("repeated call").alias("issue"), F.col("c.id").alias("id")).unionAll(steps.select("dialog", "sq", "step", F.lit("repeated observation"), F.explode(F.transform("s.observations", lambda o: o["id"]))))
+    again = used.where("coalesce(id, '') != ''").withColumn("n", F.row_number().over(Window.partitionBy("dialog", "issue", "id").orderBy("sq", "step"))).where("n > 1")
+    shown = calls.where(F.col("c.name") == code_tool).where(presentation(F.get_json_object("c.arguments", "$.code"))["only_presents"])
+    return issues.unionAll(again.select("dialog", "sq", "issue")).unionAll(shown.select("dialog", "sq", F.lit("presentation call")))

@@ -162,3 +162,34 @@ def dialog_export(s, d):
     none = F.lit(None).cast("string")
     records = read(s, d, "conversations").select(F.col("conv_id").alias("sample"), F.col("turn").alias("sq"), F.col("text").alias("user"), none.alias("memory_before"), F.array().cast("array<string>").alias("steps"), none.alias("memory_after"))
     return curation.dialogs(records).select(F.col("sample").alias("conv_id"), F.size("turns").cast("long").alias("turns"), F.array_join(F.transform("turns", lambda t: t["sq"].cast("string")), ",").alias("ids"))
+
+
+@query("decomposed", """with a as (select conv_id, turn, row_number() over (partition by conv_id order by turn) as sq from conversations where role = 'user'), m as (select c.conv_id, c.turn, max(a.sq) as sq from conversations c join a on a.conv_id = c.conv_id and a.turn <= c.turn and a.sq % 3 <> 2 group by 1, 2)
+ select conv_id, sq, count(*) as messages from m group by 1, 2""")
+def decomposed(s, d):
+    """Every third user turn asks nothing known."""
+    c = read(s, d, "conversations").select(F.col("conv_id").alias("trace"), F.col("turn").alias("pos"), "role")
+    sq = F.row_number().over(W.partitionBy("trace").orderBy("pos"))
+    anchors = c.where("role = 'user'").withColumn("sq", sq).select("trace", "sq", F.when(F.col("sq") % 3 != 2, F.col("pos")).alias("at"))
+    return curation.decompose(c, anchors).groupBy(F.col("trace").alias("conv_id"), "sq").agg(F.count("*").alias("messages"))
+
+
+@query("revalidated", """with l as (select o_custkey as dialog, o_orderkey as sq, o_orderkey % 3 = 0 as open, l_partkey % 50 as id, l_suppkey % 2 as name, l_discount > 0 as seen, l_tax > 0.07 as blank, l_quantity < 10 as bad, row_number() over (partition by o_orderkey order by l_linenumber, l_partkey, l_suppkey, l_quantity) as ln from orders join lineitem on l_orderkey = o_orderkey),
+ i as (select distinct dialog, sq, 'no final step' as issue, 0 as ln from l where open union all select dialog, sq, 'no observations', ln from l where not seen union all select dialog, sq, 'observation without id', ln from l where seen and blank union all select dialog, sq, 'call without observation', ln from l where not seen or blank
+ union all select dialog, sq, 'not recovered', ln from l where seen and bad and not exists (select 1 from l x where x.sq = l.sq and x.ln > l.ln and x.seen and not x.bad and x.name = l.name) union all select dialog, sq, 'presentation call', ln from l where name = 1 and id = 7
+ union all (select dialog, sq, 'repeated call', ln from l qualify row_number() over (partition by dialog, id order by sq, ln) > 1) union all (select dialog, sq, 'repeated observation', ln from l where seen and not blank qualify row_number() over (partition by dialog, id order by sq, ln) > 1))
+ select dialog, sq, issue, count(*) as n from i group by 1, 2, 3""")
+def revalidated(s, d):
+    """Lines of an order are its steps; orders of a customer are a dialog."""
+    l = read(s, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_tax"))).alias("x"))  # noqa: E741
+
+    def step(x):
+        id_, name, bad = (x["l_partkey"] % 50).cast("string"), F.when(x["l_suppkey"] % 2 == 1, "python_code_executor").otherwise("t"), x["l_quantity"] < 10
+        code = F.when(id_ == "7", F.lit('{"code": "import json\\nprint(json.dumps({}))"}')).otherwise("{}")
+        seen = F.array(F.struct(F.when(x["l_tax"] <= 0.07, id_).alias("id"), name.alias("name"), F.when(bad, "NameError").otherwise("fine").alias("content"), (~bad).alias("success")))
+        return F.struct(F.lit("tool_call").alias("type"), F.array(F.struct(id_.alias("id"), name.alias("name"), code.alias("arguments"))).alias("calls"), F.when(x["l_discount"] > 0, seen).otherwise(F.array().cast("array<struct<id:string,name:string,content:string,success:boolean>>")).alias("observations"))
+
+    last = F.struct(F.lit("final_answer").alias("type"), F.lit(None).cast("array<struct<id:string,name:string,arguments:string>>").alias("calls"), F.lit(None).cast("array<struct<id:string,name:string,content:string,success:boolean>>").alias("observations"))
+    steps = F.transform("x", step)
+    records = read(s, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("dialog"), F.col("o_orderkey").alias("sq"), F.when(F.col("o_orderkey") % 3 == 0, steps).otherwise(F.concat(steps, F.array(last))).alias("steps"), F.lit("a").alias("answer"), F.lit("a").alias("old_answer"))
+    return curation.revalidate(records).groupBy("dialog", "sq", "issue").agg(F.count("*").alias("n"))

@@ -20,3 +20,13 @@ def scan_files(spark: SparkSession, folder: str, extensions: tuple[str, ...] = (
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select("path", F.col("length").alias("size"))
     named = files.withColumn("name", F.element_at(F.split("path", "/"), -1)).withColumn("extension", F.lower(F.regexp_extract("name", r"\.([^.]+)$", 1)))
     return named.where(F.col("extension").isin(*extensions)).select("path", "name", "extension", "size")
+
+
+def folder_totals(files: DataFrame, root: str) -> DataFrame:
+    """(folder, depth, files, size, direct): files at or below each folder of (path, size), and those right in it; the root is `.`, depth 0."""
+    inner = F.regexp_replace(F.substr("path", F.instr("path", root) + len(root)), "^/+", "")
+    parts = F.split(inner, "/")
+    depth = F.size(parts) - 1
+    names = F.transform(F.sequence(F.lit(0), depth), lambda k: F.struct(F.when(k == 0, ".").otherwise(F.array_join(F.slice(parts, F.lit(1), k), "/")).alias("folder"), k.alias("depth"), (k == depth).cast("int").alias("direct")))
+    below = files.where(F.contains("path", F.lit(root))).select("size", F.explode(names).alias("n"))
+    return below.groupBy("n.folder", "n.depth").agg(F.count("*").alias("files"), F.sum("size").alias("size"), F.sum("n.direct").alias("direct"))
