@@ -84,7 +84,7 @@ def training_segments(s, d):
     return segments.segments(runs, gamma=0.5).withColumn("value", F.round("value", 4))
 
 
-@query("token_advantages", """with w as (select conv_id, turn, role, unnest(regexp_extract_all(text, '[^ \\n]+')) as w, generate_subscripts(regexp_extract_all(text, '[^ \\n]+'), 1) as at from conversations), n as (select *, row_number() over (partition by conv_id order by turn, at) as nth from w)
+@query("token_advantages", """with w as (select conv_id, turn, role, unnest(regexp_extract_all(text, '[^ \\n]+')) as w, generate_subscripts(regexp_extract_all(text, '[^ \\n]+'), 1) as word_no from conversations), n as (select *, row_number() over (partition by conv_id order by turn, word_no) as nth from w)
  select conv_id, count(*) as tokens, sum(length(w)) as id_sum, sum(case when role = 'assistant' then turn else 0 end)::double as advantage_sum, count(*) filter (where role = 'assistant')::double as trained from n where nth <= 200 group by conv_id""")
 def token_advantages(s, d):
     """Word lengths stand for token ids."""
