@@ -74,8 +74,10 @@ _TOK = "(select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))
 def tfidf_top_terms(s, d):
     docs = read(s, d, "documents")
     n = docs.agg(F.count("*").alias("n"))
-    terms = docs.select("doc_id", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), 1)).alias("term"))
-    per = terms.groupBy("term", "doc_id").agg(F.count("*").alias("c")).groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df"))
+    # Each text gives its terms (k = 1) and its distinct terms (k = 0): one shuffle of counts by term, none by document.
+    terms = docs.select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), 1).alias("t"))
+    both = terms.select(F.inline(F.array(F.struct(F.lit(1).alias("k"), F.col("t")), F.struct(F.lit(0).alias("k"), F.array_distinct("t").alias("t")))))
+    per = both.select("k", F.explode("t").alias("term")).groupBy("term").agg(F.sum("k").alias("tf"), F.sum(1 - F.col("k")).alias("df"))
     top = per.orderBy(F.desc("tf"), "term").limit(512)
     return top.crossJoin(F.broadcast(n)).select("term", "tf", "df", F.round(F.ln((1 + F.col("n")) / (1.0 + F.col("df"))) + 1, 6).alias("idf"))
 
