@@ -1,5 +1,6 @@
 """Claims, dependencies, segments and curation on small rows with nulls, empty texts, ties and empty tables."""
 
+import json
 import random
 import struct
 
@@ -109,3 +110,17 @@ def test_gates(spark):
     rows = [(1, 1, "q", [("final_answer", None, None, None)], "a", ["t"]), (1, 2, " ", None, None, None), (1, 3, "q", [("tool_call", None, None, [("i", "BFloat16")])], "a", ["t"])]
     got = {r.sq: r.failures for r in curation.gate_failures(spark.createDataFrame(rows, schema)).collect()}
     assert got == {1: [], 2: ["no question", "no final step", "no answer", "no source"], 3: ["no final step", "marked error"]}
+
+
+def test_presentations_of_the_final_answer_go(spark):
+    say = lambda answer: json.dumps({"code": "import json\nprint(json.dumps(" + json.dumps({"answer": answer, "data_source": ["t"]}) + "))"})
+    tool = "python_code_executor"
+    steps = [
+        ("tool_call", None, [("a", tool, say("12 cars")), ("b", "other", say("12 cars")), ("c", tool, '{"code": "print(1 + 1)"}')], [("a", "x"), ("b", "y"), (None, "z")]),
+        ("tool_call", None, [("d", tool, say("12 cars"))], [("d", "x")]), ("tool_call", None, [("e", tool, say("other words")), ("f", tool, None)], [("e", "x")]), ("final_answer", None, None, None),
+    ]
+    schema = f"k int, steps {STEP}, final struct<answer:string,data_source:array<string>>"
+    df = spark.createDataFrame([(1, steps, ("12 cars", ["t"])), (2, steps, None), (3, None, None), (4, [], ("a", None))], schema)
+    got = {r.k: r.steps and [([c.id for c in s.calls or []], [o.id for o in s.observations or []]) for s in r.steps] for r in curation.without_presentations(df).collect()}
+    every = [(["a", "b", "c"], ["a", "b"]), (["d"], ["d"]), (["e", "f"], ["e"]), ([], [])]
+    assert got == {1: [(["b", "c"], ["b"]), *every[2:]], 2: every, 3: None, 4: []}

@@ -8,7 +8,7 @@ import re
 
 import pandas as pd
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 _LOGIC = (ast.While, ast.For, ast.If, ast.ListComp, ast.DictComp, ast.SetComp, ast.GeneratorExp)
 _ARITHMETIC = (ast.Add, ast.Sub, ast.Mult, ast.Div)
@@ -82,14 +82,21 @@ def presented(code: str | None) -> tuple[bool, dict | None]:
     return True, None if found is None or None in found.values() else found
 
 
+def _answer(code: str | None) -> str | None:
+    found = presented(code)[1]
+    try:
+        return None if found is None else json.dumps(found, ensure_ascii=False)
+    except (TypeError, ValueError):
+        return None
+
+
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def presented_answers(codes: pd.Series) -> pd.Series:
+    """For arrays of arrays of code, the answers (JSON) that code only presents, each at its place; else null."""
+    return pd.Series([None if steps is None else [[] if calls is None else [_answer(c) for c in calls] for calls in steps] for steps in codes], dtype=object)
+
+
 @F.pandas_udf(StructType([StructField("only_presents", BooleanType()), StructField("answer", StringType())]))
 def presentation(code: pd.Series) -> pd.DataFrame:
     """struct<only_presents, answer JSON> of code; null code presents nothing. An answer that JSON cannot hold is null."""
-    rows = []
-    for text in code:
-        only, found = presented(text)
-        try:
-            rows.append((only, None if found is None else json.dumps(found, ensure_ascii=False)))
-        except (TypeError, ValueError):
-            rows.append((only, None))
-    return pd.DataFrame(rows, columns=["only_presents", "answer"])
+    return pd.DataFrame([(presented(text)[0], _answer(text)) for text in code], columns=["only_presents", "answer"])

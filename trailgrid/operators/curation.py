@@ -8,8 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.answers import any_of, strip
-from ..functions.code import presentation
+from ..functions.answers import any_of, same_answer, strip
+from ..functions.code import presentation, presented_answers
 
 #: Marks of an infrastructure error in a result; clauses of a plan that speak of one; openings that only follow one.
 ERROR_MARKS = ("BFloat16", "ScalarType")
@@ -67,6 +67,28 @@ def without_orphans(steps: Column) -> Column:
     return F.filter(steps, lambda s: ~((F.coalesce(s["type"], F.lit("")) == "tool_call") & empty(s["calls"]) & empty(s["observations"])))
 
 
+def without_presentations(records: DataFrame, code_tool: str = "python_code_executor") -> DataFrame:
+    """records (..., steps, final struct<answer, data_source array>) whose steps lose the calls that only print the final answer.
+
+    A call goes if its code only presents, holds an answer, and that agrees with the final one leniently; a tool step
+    without calls goes with it. Tool steps keep the observations of the calls that stay. A null final answer keeps all calls.
+    """
+    code = lambda c: F.when(c["name"] == code_tool, F.get_json_object(c["arguments"], "$.code"))
+    codes = F.transform("steps", lambda s: F.when(s["type"] == "tool_call", F.transform(s["calls"], code)))
+    told = records.withColumn("_told", presented_answers(codes))
+    same = lambda a: a.isNotNull() & F.coalesce(same_answer(F.from_json(a, "answer string, data_source array<string>"), F.col("final"), False), F.lit(False))
+
+    def keep(s: Column, i: Column) -> Column:
+        answers = F.get("_told", i)
+        calls = F.filter(s["calls"], lambda c, j: ~same(F.get(answers, j)))
+        ids = F.transform(calls, lambda c: F.coalesce(c["id"], F.lit("")))
+        seen = F.filter(s["observations"], lambda o: (F.coalesce(o["id"], F.lit("")) != "") & F.array_contains(ids, o["id"]))
+        tool = F.coalesce(s["type"] == "tool_call", F.lit(False))
+        return F.when(tool & (F.coalesce(F.size(calls), F.lit(0)) <= 0), None).when(tool, s.withField("calls", calls).withField("observations", seen)).otherwise(s)
+
+    return told.withColumn("steps", F.filter(F.transform("steps", keep), lambda s: s.isNotNull())).drop("_told")
+
+
 def call_issues(calls: DataFrame, observations: DataFrame | None, schema: dict[str, dict[str, dict]]) -> DataFrame:
     """(scope, call_id, issue) of tool calls (scope, step, pos, call_id, tool, arguments JSON) and their observations (scope, step, call_id).
 
