@@ -1,5 +1,6 @@
 """Claims, dependencies, segments and curation on small rows with nulls, empty texts, ties and empty tables."""
 
+import datetime
 import json
 import random
 import struct
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 
 from trailgrid.functions import claims
 from trailgrid.operators import curation, dependencies, segments
+from trailgrid.plans import curation_queries
 
 STEP = "array<struct<type:string,plan:string,calls:array<struct<id:string,name:string,arguments:string>>,observations:array<struct<id:string,content:string>>>>"
 
@@ -105,6 +107,22 @@ def test_segments_and_tokens(spark):
     assert row.ids == ["q", "call", "[Tool", "Result]", "ok", "[ERROR]"] and row.advantages == [0.0, 3.0, 0.0, 0.0, 0.0, 0.0] and row.trainable == [0.0, 1.0, 0.0, 0.0, 0.0, 0.0]
 
 
+def test_segments_of_every_event_as_a_fold(spark, tmp_path):
+    """Odd ids, small values and more than 40 steps: no event goes."""
+    events = [(i, u, datetime.datetime(2024, 1, 1) + datetime.timedelta(minutes=i * 37 % 101), float(i % 13) - 2) for u, n in ((1, 3), (2, 55), (3, 90)) for i in range(1000 * u, 1000 * u + n)]
+    spark.createDataFrame(events, "event_id long, user_id long, ts timestamp_ntz, value double").write.parquet(f"{tmp_path}/events.parquet")
+    want = {}
+    for u in (1, 2, 3):
+        rewards = [r[3] for r in sorted((r for r in events if r[1] == u), key=lambda r: (r[2], r[0]))]
+        g = best = max(rewards)
+        want[(u, "answer", -1)] = best
+        for t in reversed(range(len(rewards))):
+            g = rewards[t] + 0.5 * g
+            want[(u, "tool", t)] = g
+    got = {(r.rollout, r.kind, r.step): r.value for r in curation_queries.training_segments(spark, str(tmp_path)).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
+
+
 def test_gates(spark):
     schema = f"sample int, sq int, user string, steps {STEP}, answer string, tables array<string>"
     rows = [(1, 1, "q", [("final_answer", None, None, None)], "a", ["t"]), (1, 2, " ", None, None, None), (1, 3, "q", [("tool_call", None, None, [("i", "BFloat16")])], "a", ["t"])]

@@ -77,9 +77,8 @@ def future_needs(s, d):
  s as (select user_id, user_id || '_tool_' || t as segment, 'tool' as kind, t::int as step, sum(value * pow(0.5, t)) over (partition by user_id order by t rows between current row and unbounded following) / pow(0.5, t) + ans * pow(0.5, n - t) as value from e where n <= 40 or t >= n - 40)
  select user_id as rollout, segment, kind, step, round(value, 4) as value from s where step >= 0 and kind = 'tool' and user_id in (select user_id from e where n <= 40) union all select distinct user_id, user_id || '_answer', 'answer', -1, round(ans, 4) from e where n <= 40""")
 def training_segments(s, d):
-    """Rollouts of at most 40 steps: in SQL the powers of longer ones lose their digits."""
-    e = read(s, d, "events").where("user_id % 2 = 0 or value > 10")
-    runs = e.groupBy(F.col("user_id").alias("rollout")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"), F.max("value").alias("answer_reward")).where("size(x) <= 40")
+    """Every event of every user, one tool step each; the SQL holds only users of at most 40 events after a filter."""
+    runs = read(s, d, "events").groupBy(F.col("user_id").alias("rollout")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"), F.max("value").alias("answer_reward"))
     runs = runs.select("rollout", F.transform("x", lambda r: r["value"].cast("double")).alias("rewards"), F.lit("a").alias("answer"), F.col("answer_reward").cast("double").alias("answer_reward"), F.lit(None).cast("double").alias("memory_reward"))
     return segments.segments(runs, gamma=0.5).withColumn("value", F.round("value", 4))
 
