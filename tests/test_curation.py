@@ -123,6 +123,13 @@ def test_segments_of_every_event_as_a_fold(spark, tmp_path):
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-4 for k in want)
 
 
+def test_token_advantages_up_to_the_limit_of_the_reference(spark, tmp_path):
+    talk = [("a", 1, "user", "uu " * 150), ("a", 2, "assistant", "xyz\n" * 250), ("b", 1, "user", "q"), ("b", 2, "assistant", "w " * 5000)]
+    spark.createDataFrame(talk, "conv_id string, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {tuple(r) for r in curation_queries.token_advantages(spark, str(tmp_path)).select("conv_id", "tokens", "id_sum", "advantage_sum", "trained").collect()}
+    assert got == {("a", 400, 1050, 500.0, 250.0), ("b", 4096, 4096, 8190.0, 4095.0)}
+
+
 def test_gates(spark):
     schema = f"sample int, sq int, user string, steps {STEP}, answer string, tables array<string>"
     rows = [(1, 1, "q", [("final_answer", None, None, None)], "a", ["t"]), (1, 2, " ", None, None, None), (1, 3, "q", [("tool_call", None, None, [("i", "BFloat16")])], "a", ["t"])]

@@ -86,9 +86,9 @@ def training_segments(s, d):
 @query("token_advantages", """with w as (select conv_id, turn, role, unnest(regexp_extract_all(text, '[^ \\n]+')) as w, generate_subscripts(regexp_extract_all(text, '[^ \\n]+'), 1) as word_no from conversations), n as (select *, row_number() over (partition by conv_id order by turn, word_no) as nth from w)
  select conv_id, count(*) as tokens, sum(length(w)) as id_sum, sum(case when role = 'assistant' then turn else 0 end)::double as advantage_sum, count(*) filter (where role = 'assistant')::double as trained from n where nth <= 200 group by conv_id""")
 def token_advantages(s, d):
-    """Word lengths stand for token ids."""
+    """Word lengths stand for token ids; a conversation is cut at the reference's 4096, the SQL at 200."""
     c = read(s, d, "conversations").select(F.col("conv_id").alias("rollout"), F.col("turn").alias("pos"), (F.col("role") == "assistant").alias("trainable"), "text", F.when(F.col("role") == "assistant", F.col("turn")).otherwise(0).cast("double").alias("advantage"))
-    made = segments.token_arrays(c, F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), F.char_length), 200)
+    made = segments.token_arrays(c, F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), F.char_length))
     total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
     return made.select(F.col("rollout").alias("conv_id"), F.size("ids").cast("long").alias("tokens"), F.aggregate(F.col("ids").cast("array<long>"), F.lit(0).cast("long"), lambda a, x: a + x).alias("id_sum"), total(F.col("advantages"), 0.0).alias("advantage_sum"), total(F.col("trainable"), 0.0).alias("trained"))
 
