@@ -95,3 +95,15 @@ def test_recall(spark):
         best = [i for i in np.lexsort((np.arange(1500), -exact[q])) if i != q][:20]
         hits += len({*best} & {r.vec_id for r in got if r.query_id == q})
     assert hits / (75 * 20) >= 0.9
+
+
+def test_near_duplicates_without_ids_of_their_own(spark):
+    """Null ids and ids shared by different texts: of each class one row stays, and no other row goes."""
+    text = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    rows = [(1, text["a"]), (None, text["a"]), (None, text["b"]), (None, text["b"] + " more"), (None, text["c"]), (None, text["d"]), (5, text["e"]), (5, text["f"]), (5, text["e"]), (7, text["g"]), (6, text["g"] + " end")]
+    rows += [(None, None), (None, ""), (8, None), (8, None), (8, " ")]
+    kept = [tuple(r) for r in corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()]
+    alike = [r for r in kept if r[1] and r[1].startswith(text["b"])]
+    assert len(alike) == 1 and alike[0] in rows
+    rest = [(1, text["a"]), (None, text["c"]), (None, text["d"]), (5, text["e"]), (5, text["f"]), (6, text["g"] + " end"), (None, None), (None, ""), (8, None), (8, " ")]
+    assert sorted(map(str, kept)) == sorted(map(str, [*rest, *alike]))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import WORD, Scratch, mix
 from .graph import components
 from .tokens import batch_numbers, sequence_numbers
 
@@ -263,7 +263,17 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """documents without those whose class has a lesser document; repeated rows of the kept one stay once."""
-    classes = join(documents, id_col, text_col).where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("_gone")).distinct()
-    rest = documents.join(classes, F.col(id_col) == F.col("_gone"), "left_anti")
-    return rest.dropDuplicates([id_col])
+    """documents without those whose class has a lesser document (null ids last); repeated rows of the kept one stay once.
+
+    Rows are told apart by a number of their own, so that null ids, and different texts under one id, are documents too.
+    Wordless texts are in no class: of those only rows repeated with their id go.
+    """
+    scratch = Scratch(documents.sparkSession, "kept")
+    rows = scratch.keep(documents.withColumns({"_row": F.monotonically_increasing_id(), "_mark": F.xxhash64(text_col)}), "rows")
+    linked = scratch.keep(join(rows, "_row", text_col).where("n_links > 0 or _row != class_id").select("_row", "class_id"), "linked")
+    order = F.struct(F.col(id_col).isNull(), id_col, "_mark", "_row")
+    first = linked.join(rows.select("_row", id_col, "_mark"), "_row").groupBy("class_id").agg(F.min(order)["_row"].alias("_row"))
+    bare = rows.where(F.col(id_col).isNotNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))
+    once = bare.groupBy(id_col, text_col).agg(F.min("_row").alias("_row"))
+    gone = linked.select("_row").join(first, "_row", "left_anti").unionAll(bare.select("_row").join(once, "_row", "left_anti"))
+    return rows.join(gone, "_row", "left_anti").drop("_row", "_mark")
