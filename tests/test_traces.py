@@ -1,13 +1,18 @@
 """Trace, evidence, text and file operators against plain Python on small and odd inputs."""
 
+import datetime
 import json
+import os
 import random
 import re
 
+import pyarrow as pa
+import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
 from trailgrid.functions import answers as an
 from trailgrid.operators import evidence, traces
+from trailgrid.plans import trace_queries
 from trailgrid.sinks import files as sinks
 from trailgrid.sources import texts
 
@@ -90,3 +95,18 @@ def test_files(spark, tmp_path):
     assert [(r.role, r.content, r.calls and r.calls[0]["name"]) for r in got] == [("user", "q", None), ("assistant", "", "f"), ("assistant", "done", None)]
     sinks.json_lines(spark.range(3), str(tmp_path / "out"))
     assert spark.read.json(str(tmp_path / "out")).count() == 3
+
+
+def test_streams_of_a_folder_of_unordered_parts(spark, tmp_path):
+    """70 files, more than one batch, the latest days first: no row is late, and repeats over batches count once."""
+    (tmp_path / "events.parquet").mkdir()
+    for k in range(70):
+        day = datetime.datetime(2024, 1, 1) + datetime.timedelta(days=3 * (69 - k))
+        rows = {"event_id": [2 * k, 2 * k + 1], "ts": [day, day + datetime.timedelta(hours=30)], "user_id": [k % 2, 2], "event_type": ["click", "view"], "value": [1.0 + k, 0.5], "props": [f"p{k % 5}", "same"]}
+        at = tmp_path / "events.parquet" / f"part-{k:05d}.parquet"
+        pq.write_table(pa.table(rows), at)
+        os.utime(at, (1_700_000_000 + k, 1_700_000_000 + k))
+    made = trace_queries.stream_tumbling(spark, str(tmp_path)).collect()
+    assert sum(r.n for r in made) == 140 and len(made) == 140 and sum(r.total for r in made) == sum(1.5 + k for k in range(70))
+    once = {(r.user_id, r.event_type): r.n for r in trace_queries.stream_first_calls(spark, str(tmp_path)).collect()}
+    assert once == {(0, "click"): 5, (1, "click"): 5, (2, "view"): 1}

@@ -246,11 +246,11 @@ def sliding(s, d):
 
 @query("stream_tumbling", "select time_bucket(interval '1 day', ts) as start, event_type, count(*) as n, round(sum(value), 4) as total from events group by 1, 2")
 def stream_tumbling(s, d):
-    made = windows.tumbling(windows.events(s, d), "1 day", "2 days", "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
+    made = windows.tumbling(windows.events(s, d), "1 day", None, "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
     return windows.run(made.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n", "total"), ["start", "event_type"])
 
 
 @query("stream_first_calls", "select user_id, event_type, count(distinct props) as n from events group by 1, 2")
 def stream_first_calls(s, d):
-    once = windows.without_repeats(windows.events(s, d), "60 days", "user_id", "event_type", "props")
+    once = windows.without_repeats(windows.events(s, d), None, "user_id", "event_type", "props")
     return windows.run(once.select("user_id", "event_type"), [], "append").groupBy("user_id", "event_type").agg(F.count("*").alias("n"))

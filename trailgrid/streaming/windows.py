@@ -15,13 +15,17 @@ from ..sources.texts import shared_folder
 
 
 def events(spark: SparkSession, folder: str, name: str = "events", per_batch: int = 64, time: str = "ts") -> DataFrame:
-    """A stream of a table's files; times without a zone are taken in the session's, as watermarks need one."""
-    schema = spark.read.parquet(f"{folder}/{name}.parquet").schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", per_batch).option("pathGlobFilter", f"{name}.parquet").parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+    """A stream of a table, one file or a folder of parts; times without a zone are taken in the session's, as watermarks need one."""
+    at = f"{folder}/{name}.parquet"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    parts = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory()
+    source = at if parts else f"{folder}/{name}.[p]arquet"  # a stream takes a single file only as a pattern
+    return spark.readStream.schema(spark.read.parquet(at).schema).option("maxFilesPerTrigger", per_batch).parquet(source).withColumn(time, F.col(time).cast("timestamp"))
 
 
-def tumbling(stream: DataFrame, width: str, late: str, *keys: str, time: str = "ts") -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.window(time, width).alias("w"), *keys)
+def tumbling(stream: DataFrame, width: str, late: str | None, *keys: str, time: str = "ts") -> DataFrame:
+    """late: null for a whole table, whose files come in any order; no row is late then, and every window is held."""
+    return (stream.withWatermark(time, late) if late else stream).groupBy(F.window(time, width).alias("w"), *keys)
 
 
 def sliding(stream: DataFrame, width: str, step: str, late: str, *keys: str, time: str = "ts") -> DataFrame:
@@ -32,7 +36,10 @@ def sessions(stream: DataFrame, gap: str, late: str, *keys: str, time: str = "ts
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys)
 
 
-def without_repeats(stream: DataFrame, late: str, *keys: str, time: str = "ts") -> DataFrame:
+def without_repeats(stream: DataFrame, late: str | None, *keys: str, time: str = "ts") -> DataFrame:
+    """late: null for a whole table; no row is late then, and every key is held."""
+    if not late:
+        return stream.dropDuplicates(list(keys))
     return stream.withWatermark(time, late).dropDuplicatesWithinWatermark(list(keys))
 
 
