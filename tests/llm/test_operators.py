@@ -87,6 +87,24 @@ def test_shards(docs):
     assert all(x == list(range(len(x))) for x in sizes) and max(map(len, sizes)) - min(map(len, sizes)) <= 1
 
 
+def test_shards_where_every_text_is_copied(spark):
+    """No document is free: shards have no room, and groups come together by swaps."""
+    texts = spark.createDataFrame([(i, f"text {i // 5}") for i in range(8000)], "doc_id long, text string")
+    rows = sharding.report(texts).collect()
+    held = {}
+    for r in rows:
+        held.setdefault(r.doc_id // 5, []).append(r.shard)
+    sizes = [sum(r.shard == s for r in rows) for s in range(8)]
+    assert sizes == [1000] * 8
+    assert sum(max(map(x.count, x)) for x in held.values()) >= 0.95 * 8000
+
+
+def test_moves_that_full_shards_grant():
+    assert sharding.granted({(0, 1): 50, (2, 1): 50, (1, 0): 50}, [0, 0, 0]) == {(0, 1): 50, (2, 1): 0, (1, 0): 50}
+    assert sharding.granted({(0, 1): 9, (1, 2): 7}, [0, 0, 5]) == {(0, 1): 5, (1, 2): 5}
+    assert sharding.granted({(0, 1): 9, (2, 1): 9}, [0, 4, -3]) == {(0, 1): 0, (2, 1): 4}
+
+
 def test_jaccard(docs):
     sets = {}
     rows = docs.select("doc_id", "text").collect()

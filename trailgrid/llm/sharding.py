@@ -1,8 +1,9 @@
 """Sharding by balanced label propagation; documents with equal texts are linked.
 
 Every document starts in a shard by its hash. In each round the documents of a group that are not in
-its preferred shard (most members there, room left) ask to move, and a shard grants what its quota
-admits. Rounds work on members by (group, shard): at most one row per shard and group, however large
+its preferred shard (most members there; every other round, room left there first) ask to move, and
+moves are granted in cycles between shards and in chains that end in free room, so that full shards
+swap. Rounds end when nothing asks or two in turn leave no fewer documents astray. They work on members by (group, shard): at most one row per shard and group, however large
 the group. Then every shard keeps linked documents up to its exact capacity, and unlinked ones and
 the few over capacity fill the rest, so that shards differ by one document at most (law `rows`).
 Slots come from counts of small buckets and numbers within a bucket; large groups get several buckets.
@@ -14,39 +15,81 @@ repeated rows are documents of their own; an empty table gives an empty result.
 from __future__ import annotations
 
 from itertools import accumulate
+from math import inf
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, unit
 
-#: Documents that one bucket of slots aims at, and rounds of propagation.
-BUCKET, ROUNDS = 4000, 4
+#: Documents that one bucket of slots aims at.
+BUCKET = 4000
 
 
 def _prefer(members: DataFrame, room: list[int], r: int) -> DataFrame:
-    """members with `to`, the shard that its group prefers."""
+    """members with `to`, the shard that its group prefers, and `home`, the shard with most of it."""
     open_ = F.element_at(F.array(*[F.lit(int(x > 0)) for x in room]), F.col("shard") + 1)
-    best = members.groupBy("g").agg(F.max_by("shard", F.struct(open_, "n", F.xxhash64("g", "shard", F.lit(r)))).alias("to"))
+    tie = F.xxhash64("g", "shard", F.lit(r))
+    first = F.struct(open_, "n", tie) if r % 2 else F.struct("n", open_, tie)
+    best = members.groupBy("g").agg(F.max_by("shard", first).alias("to"), F.max_by("shard", F.struct("n", "shard")).alias("home"))
     return members.join(best, "g")
 
 
-def propagate(members: DataFrame, capacity: list[int], scratch: Scratch, rounds: int = ROUNDS) -> DataFrame:
-    """members (g, shard, n) after some rounds of moves under quotas."""
-    shards = len(capacity)
-    for r in range(rounds):
+def _route(left: dict[tuple[int, int], int], begin: int, ends: set[int]) -> list[tuple[int, int]] | None:
+    """The moves of a shortest way of one or more from a shard to one of the ends."""
+    came, queue = {}, [begin]
+    for u in queue:
+        for (a, b), n in left.items():
+            if a == u and n > 0 and b in ends:
+                edges = [(u, b)]
+                while edges[-1][0] != begin:
+                    edges.append((came[edges[-1][0]], edges[-1][0]))
+                return edges
+            if a == u and n > 0 and b not in came and b != begin:
+                came[b] = u
+                queue.append(b)
+    return None
+
+
+def granted(wants: dict[tuple[int, int], int], room: list[int]) -> dict[tuple[int, int], int]:
+    """Of the moves (from, to) asked for, what leaves no shard above its capacity or fuller than it was: cycles, then chains into room, from the fullest shards first."""
+    left, room = dict(wants), list(room)
+    for s in range(len(room)):
+        while edges := _route(left, s, {s}):
+            most = min(left[e] for e in edges)
+            left |= {e: left[e] - most for e in edges}
+    # What is left has no cycle, so room only goes back along it and this ends.
+    while edges := next(filter(None, (_route(left, s, {t for t, r in enumerate(room) if r > 0 and t != s}) for s in sorted(range(len(room)), key=room.__getitem__))), None):
+        most = min(room[edges[0][1]], *(left[e] for e in edges))
+        left |= {e: left[e] - most for e in edges}
+        room[edges[0][1]] -= most
+        room[edges[-1][0]] += most
+    return {e: n - left[e] for e, n in wants.items()}
+
+
+def propagate(members: DataFrame, capacity: list[int], scratch: Scratch) -> DataFrame:
+    """members (g, shard, n) after moves under quotas, until these no longer bring groups together."""
+    shards, r, least, idle = len(capacity), 0, inf, 0
+    while True:
         load = dict(members.groupBy("shard").agg(F.sum("n").alias("n")).collect())  # one row a shard
         room = [c - (load.get(s) or 0) for s, c in enumerate(capacity)]
         asked = _prefer(members, room, r)
-        wants = dict(asked.where("shard != to").groupBy("to").agg(F.sum("n").alias("n")).collect())  # one row a shard
-        if not wants:
-            break
-        grant = F.element_at(F.array(*[F.lit(min(1.0, max(0, room[s]) / wants[s]) if wants.get(s) else 0.0) for s in range(shards)]), F.col("to") + 1)
+        seen = asked.groupBy("shard", "to").agg(F.sum("n").alias("n"), F.sum(F.when(F.col("shard") != F.col("home"), F.col("n")).otherwise(0)).alias("astray")).collect()  # one row a pair of shards
+        astray = sum(x["astray"] for x in seen)
+        least, idle = (astray, 0) if astray < least else (least, idle + 1)
+        if not astray or idle == 2:
+            return members
+        wants = {(x["shard"], x["to"]): x["n"] for x in seen if x["shard"] != x["to"]}
+        grants = granted(wants, room)
+        share = [grants[s, t] / wants[s, t] if (s, t) in wants else 0.0 for s in range(shards) for t in range(shards)]
+        grant = F.element_at(F.array(*map(F.lit, share)), F.col("shard") * shards + F.col("to") + 1)
         large = F.col("n") * 50 > min(capacity)  # a large group moves in part, a small one as a whole or not
-        moved = F.when(F.col("shard") == F.col("to"), 0).when(large, F.floor(F.col("n") * grant)).when(unit("g", F.lit(r)) < grant, F.col("n")).otherwise(0)
+        part = F.least(F.col("n"), F.floor(F.col("n") * grant + unit("g", "shard", F.lit(r))))
+        moved = F.when(F.col("shard") == F.col("to"), 0).when(large, part).when(unit("g", F.lit(r)) < grant, F.col("n")).otherwise(0)
         flows = asked.withColumn("moved", moved).select(F.explode(F.array(F.struct("g", "shard", (F.col("n") - F.col("moved")).alias("n")), F.struct("g", F.col("to").alias("shard"), F.col("moved").alias("n")))).alias("x")).select("x.*")
         members = scratch.keep(flows.groupBy("g", "shard").agg(F.sum("n").alias("n")).where("n > 0"), f"members{r}")
-    return members
+        scratch.drop(f"members{r - 1}")
+        r += 1
 
 
 def assign(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_col: str = "text", seed: int = 11) -> DataFrame:
