@@ -16,23 +16,31 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) a folder of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir.
+
+    Where it is unset, a session whose executors are threads of the driver gets a folder of its own; any other
+    session is refused, because its executors could not read what the driver's disk holds.
+    """
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='trailgrid-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
 class Scratch:
-    """Parquet tables in the shared folder. They cut lineage: a lost executor costs only the stage that runs.
+    """Parquet files in the shared folder. They cut lineage: a lost executor costs only the stage that runs.
 
-    keep() writes a frame and reads it back; drop() removes tables that no later plan reads.
+    keep() writes a frame and reads it back; drop() removes what no later plan reads. What a returned frame
+    still reads stays until the caller has consumed the frame; clear() then removes the folder, and a cluster
+    that never calls it must empty spark.checkpoint.dir between jobs, as with Spark's own checkpoints.
     """
 
     def __init__(self, spark: SparkSession, what: str):
@@ -49,6 +57,9 @@ class Scratch:
             path = jvm.org.apache.hadoop.fs.Path(f"{self.at}/{name}")
             path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
+    def clear(self) -> None:
+        self.drop("")
+
     def release(self) -> None:
         """Lets Spark drop the shuffle files of frames that nothing refers to any more."""
         gc.collect()
