@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from trailgrid.llm import bpe, jaccard, language, mixing, pii
-from trailgrid.llm.common import Scratch, table
+from trailgrid.llm.common import Scratch, load
 
 
 def _counted(docs: DataFrame) -> DataFrame:
@@ -19,7 +19,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that no learned language fits better than all others together."""
+    """Rejects texts without a letter and texts that even their best language codes much longer than unseen texts of it."""
     return language.keep_known(docs, language.learn(docs))
 
 
@@ -49,7 +49,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
+    docs, scratch = load(spark, sf_dir, "documents"), Scratch(spark, "pipeline")
     for k, (_, stage) in enumerate(STAGES):
         made = stage(spark, docs, sf_dir)
         if k + 1 == len(STAGES):
