@@ -2,9 +2,10 @@
 
 Kinds email, ip, card and phone are found leftmost and without overlap within a kind; what a check
 rejects is dropped and not tried again. Kinds iban (mod 97), ssn (area, group and serial in range)
-and secret (long hexadecimal or mixed keys) start below the threshold or above it by their check,
-and words within NEAR code points before or after move them. Every pattern is linear in the text:
-runs are possessive and starts are fixed by what stands before them.
+and secret (keys of letters and digits, of any length from 20 on) start below the threshold or above
+it by their check, and whole words within NEAR code points before or after move them: `key` counts in
+`api_key=`, not in `monkey`. Every pattern is linear in the text: runs are possessive and starts are
+fixed by what stands before them.
 
 Defined cases: a null text is empty and has no spans; offsets count code points, end exclusive;
 spans of different kinds may overlap; rows are independent, so repeated rows repeat their result.
@@ -31,14 +32,16 @@ NEAR = 40
 START = {"email": 0.9, "ip": 0.8, "card": 0.9, "phone": 0.8, "iban": 0.9, "ssn": 0.35, "secret": 0.3}
 GAIN, LOSS = 0.3, 0.2
 CONTEXT = {
-    "email": ("mail", "contact", "correo", "courriel", "@"),
+    "email": ("mail", "email", "contact", "correo", "courriel"),
     "ip": ("ip", "host", "server", "address", "adresse"),
     "card": ("card", "visa", "karte", "carte", "tarjeta", "credit"),
-    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "tél"),
+    "phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "telephone", "tél"),
     "iban": ("iban", "bank", "account", "konto", "compte", "cuenta"),
-    "ssn": ("ssn", "social security", "social-security", "taxpayer"),
-    "secret": ("token", "secret", "key", "password", "passwd", "api", "auth", "bearer"),
+    "ssn": ("ssn", "social security", "taxpayer"),
+    "secret": ("token", "secret", "key", "apikey", "password", "passwd", "pwd", "api", "auth", "bearer"),
 }
+#: How keys of some services begin; such a key needs no context.
+PREFIXES = ("AKIA", "ASIA", "ghp_", "gho_", "ghs_", "github_pat_")
 AGAINST = ("example", "sample", "version", "isbn", "order no", "sha256", "md5", "commit")
 
 _AT = re.compile(r"@([A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)+)")
@@ -49,7 +52,8 @@ _CARD = re.compile(r"[0-9](?:[ -]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])([0-9]{3})-([0-9]{2})-([0-9]{4})(?![0-9-])")
-_SECRET = re.compile(r"(?<![A-Za-z0-9_/+])[A-Za-z0-9_]{20,128}(?![A-Za-z0-9_/+=])")
+_SECRET = re.compile(r"(?<![A-Za-z0-9_/+])[A-Za-z0-9_]{20,}+(?![/+=])")
+_WORDS = re.compile(r"[^\W_]+")
 _DIGIT = re.compile(r"[0-9]")
 
 
@@ -127,11 +131,14 @@ def more_spans(text: str) -> Iterator[tuple[str, int, int]]:
 
 
 def score(kind: str, text: str, start: int, end: int) -> float:
-    near = (text[max(0, start - NEAR) : start] + " " + text[end : end + NEAR]).lower()
-    value = START[kind] + GAIN * any(w in near for w in CONTEXT[kind])
+    near = " ".join(["", *_WORDS.findall(text[max(0, start - NEAR) : start].lower()), "|", *_WORDS.findall(text[end : end + NEAR].lower()), ""])
+    says = lambda words: any(f" {w} " in near for w in words)
+    value = START[kind] + GAIN * says(CONTEXT[kind])
+    if kind == "secret":
+        value += GAIN * text.startswith(PREFIXES, start)
     if kind in MORE:
-        value -= LOSS * any(w in near for w in AGAINST)
-    return min(1.0, value)
+        value -= LOSS * says(AGAINST)
+    return round(min(1.0, value), 6)
 
 
 def spans(text: str | None) -> list[tuple[str, int, int, float]]:
@@ -182,7 +189,7 @@ def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def report(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, the count of each base kind, base_sha256 and spans as text."""
+    """Per document: doc_id, the count of each base kind, base_sha256, spans as text and the score of each span."""
     shown = lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))
     found = find(documents)
     base = F.filter("pii", lambda x: x["kind"].isin(*BASE))
@@ -192,4 +199,5 @@ def report(documents: DataFrame) -> DataFrame:
         *[F.size(of_kind(k)).cast("long").alias(f"n_{k}") for k in BASE],
         F.sha2(F.array_join(F.transform(base, shown), ","), 256).alias("base_sha256"),
         F.array_join(F.transform("pii", shown), ",").alias("spans"),
+        F.array_join(F.transform("pii", lambda x: x["score"].cast("string")), ",").alias("scores"),
     )
