@@ -121,9 +121,21 @@ def mix(documents: DataFrame, **options) -> DataFrame:
 
 
 def apply(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", **options) -> DataFrame:
-    """The mixed documents: each row as often as it is copied, then the first words of a document that is taken in part."""
-    made = plan(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options).select(F.col("key").alias("_k"), F.col("none").alias("_none"), F.col("name").alias("_name"), F.col("size").alias("_size"), F.col("copies").alias("_copies"), F.floor(F.col("words") / F.col("m")).alias("_words"))
-    on = F.col(id_col).eqNullSafe(F.col("_k")) & (F.col(source_col).isNull() == F.col("_none")) & (F.coalesce(F.col(source_col).cast("string"), F.lit("")) == F.col("_name")) & (word_count(F.col(text_col)) == F.col("_size"))
-    rows = documents.join(made, on).withColumn("_part", F.explode(F.concat(F.array_repeat(F.lit(False), F.col("_copies").cast("int")), F.array_repeat(F.lit(True), F.when(F.col("_words") > 0, 1).otherwise(0)))))
-    first = F.array_join(F.slice(F.filter(F.split(text_col, r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("_words"), F.lit(1)).cast("int")), " ")
-    return rows.withColumn(text_col, F.when(F.col("_part"), first).otherwise(F.col(text_col))).select(*documents.columns)
+    """The mixed documents: each row as often as it is copied, then the first words of a document that is taken in part.
+
+    Columns of documents may have any names. Null ids and repeated rows are mixed like others; rows of equal id,
+    source and size share the words of a part. A wordless text is never taken.
+    """
+    columns = documents.columns
+    made = plan(documents, id_col=id_col, text_col=text_col, source_col=source_col, **options)
+    made = made.select("key", "none", "name", "size", F.col("copies").cast("int").alias("copies"), F.floor(F.col("words") / F.col("m")).cast("int").alias("part"))
+    given = documents.select(
+        F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)]).alias("doc"), F.col(id_col).alias("i"), F.col(text_col).alias("txt"),
+        F.col(source_col).isNull().alias("n"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("s"), word_count(F.col(text_col)).alias("z"),
+    )
+    on = F.col("i").eqNullSafe(F.col("key")) & (F.col("n") == F.col("none")) & (F.col("s") == F.col("name")) & (F.col("z") == F.col("size"))
+    cuts = F.concat(F.array_repeat(F.lit(0), F.col("copies")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<int>")))
+    rows = given.join(made, on).withColumn("cut", F.explode(cuts))
+    first = F.array_join(F.slice(F.filter(F.split("txt", r"[\x20\x09-\x0D]+"), lambda w: w != ""), F.lit(1), F.greatest(F.col("cut"), F.lit(1))), " ")
+    text = F.when(F.col("cut") > 0, first).otherwise(F.col("txt"))
+    return rows.select(*[(text if c == text_col else F.col(f"doc.c{i}")).alias(c) for i, c in enumerate(columns)])
