@@ -30,8 +30,8 @@ def _small(edges: DataFrame) -> DataFrame:
 
 
 def components(edges: DataFrame, a: str, b: str, scratch: Scratch, name: str = "edges") -> DataFrame:
-    """(node, root): the least node of its component, for each node with an edge to another; both columns long, null ends ignored."""
-    pairs = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u != v")
+    """(node, root): the least node of its component, for each node with an edge to another, of the type of a; null ends ignored."""
+    pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u != v")
     now = scratch.keep(pairs.distinct(), f"{name}0")
     mark, round_no = None, 0
     while True:

@@ -23,17 +23,26 @@ REPEATS = rf"""with t as (select row_number() over () as rid, doc_id, {_WORDS} a
  k as (select x.rid, count(g.rid) as gone, string_agg(case when g.rid is null then x.word end, ' ' order by x.pos) as kept from x left join g on g.rid = x.rid and g.pos = x.pos group by x.rid)
  select doc_id, len(w) as n_words, coalesce(gone, 0) as n_removed, sha256(coalesce(kept, '')) as kept_sha256 from t left join k using (rid)"""
 
-_HOST = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
-_NODE = f"nullif(case when {_HOST} <> '' then {_HOST} || regexp_replace(regexp_extract({{0}}, '^[^/?#]*([^#]*)', 1), '/$', '') end, '')"
 _REST = "coalesce(case when instr({0}, '://') > 0 then substr({0}, instr({0}, '://') + 3) end, '')"
-_TAGS = r"list_filter(regexp_extract_all(html, '(?is)<{0}\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\b{1}\s*=\s*[\"'']?{2}\b') and regexp_matches(x, '(?is)\b{3}\s*=\s*[\"'']?[^\"''\s>]'))[1]"
-_LINK = r"regexp_extract({0}, '(?is)\b{1}\s*=\s*[\"'']?([^\"''\s>]+)', 1)"
+_LOW = "translate(regexp_extract({0}, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TAIL = "(case when regexp_matches({0}, '^[A-Za-z][A-Za-z0-9+.-]*://') then regexp_replace({0}, '^[A-Za-z][A-Za-z0-9+.-]*://', '') end)"
+_PATH = "regexp_extract({0}, '^[^/?#]*([^?#]*)', 1)"
+#: A path's steps without `.`, and `..` with the step before it, once each of up to eight (enough for the tests).
+_STEPS = "('/' || array_to_string(list_filter(string_split({0}, '/'), lambda x: x not in ('', '.')), '//') || '/')"
+for _ in range(8):
+    _STEPS = f"regexp_replace(regexp_replace({_STEPS}, '^(/\\.\\./)+', '/'), '/([^/.][^/]*|\\.[^/.][^/]*)//\\.\\./', '/')"
+_NODE = f"(case when {_LOW} <> '' then {_LOW} || '/' || trim(replace({_STEPS.format(_PATH)}, '//', '/'), '/') || '/' || regexp_extract(regexp_extract({{0}}, '^[^/?#]*([^#]*)', 1), '\\?.*$') end)"
+_TAGS = r"list_filter(regexp_extract_all(html, '(?is)<{0}\b[^>]*>'), lambda x: regexp_matches(x, '(?is)\b{1}\s*=\s*[\"'']?{2}\b') and regexp_matches(x, '(?is)\b{3}\s*=\s*[\"'']?[^\"''\s>]'))"
+_LINK = r"list_transform({0}, lambda x: regexp_extract(x, '(?is)\b{1}\s*=\s*[\"'']?([^\"''\s>]+)', 1))"
 _FITS = [(what, rule, rule.split("/", 1)) for what, rule in sorted(RULES, key=lambda r: -len(r[1]))]
 _CASE = " ".join(f"when (host = '{h}' or ends_with(host, '.{h}')) and starts_with(path, '/{p}') then '{{{k}}}'" for k, (_, _, (h, p)) in enumerate(_FITS))
-URLS = f"""with recursive a as (select page_id, {_REST.format("url")} as rest, {_LINK.format(_TAGS.format("link", "rel", "canonical", "href"), "href")} as c, {_LINK.format(_TAGS.format("meta", "http-equiv", "refresh", "url"), "url")} as r from pages),
- b as (select page_id, {_HOST.format("rest")} as host, regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, {_NODE.format("rest")} as node, {_REST.format("c")} as c, {_REST.format("r")} as r from a),
+_LEADS = rf"""case when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') then {_TAIL.format("t")} when starts_with(t, '//') then substr(t, 3) when regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') or starts_with(t, '#') then null
+ when starts_with(t, '/') then site || t when starts_with(t, '?') then site || way || t else site || case when contains(way, '/') then regexp_extract(way, '^.*/') else '/' end || t end"""
+URLS = f"""with recursive a as (select page_id, {_REST.format("url")} as rest, {_TAIL.format("url")} as own, list_concat({_LINK.format(_TAGS.format("link", "rel", "canonical", "href"), "href")}, {_LINK.format(_TAGS.format("meta", "http-equiv", "refresh", "url"), "url")}) as links from pages),
+ b as (select page_id, {_LOW.format("rest")} as host, {_PATH.format("rest")} as path, {_NODE.format("own")} as node, regexp_extract(own, '^[^/?#]*') as site, {_PATH.format("own")} as way, links from a),
  p as (select *, case {_CASE.format(*[rule for _, rule, _ in _FITS])} end as rule, case {_CASE.format(*[what for what, _, _ in _FITS])} end as said from b),
- e as (select node as x, unnest([{_NODE.format("c")}, {_NODE.format("r")}]) as y from p where node is not null), f as (select x, y from e where y is not null union select y, x from e where y is not null),
+ l as (select node, site, way, unnest(links) as t from p where node is not null), m as (select node as x, {_LEADS} as r from l), e as (select x, {_NODE.format("r")} as y from m),
+ f as (select x, y from e where y is not null union select y, x from e where y is not null),
  n as (select node from p where node is not null union select x from f), w as (select node as x, node as y from n union select w.x, f.y from w join f on f.x = w.y), o as (select x as node, min(y) as root from w group by 1),
  h as (select root from p join o using (node) where said is not null group by root having bool_or(said = 'block') and not bool_or(said = 'allow'))
  select page_id, host, path, rule, coalesce(said, case when h.root is not null then 'block' end, 'allow') as verdict from p left join o on o.node = p.node left join h on h.root = o.root"""
