@@ -5,14 +5,18 @@ node the set's least token under the node's hash order, which two sets share wit
 of their similarity. Nodes of at most SMALL sets are compared by brute force; larger ones split again,
 at most DEPTH times. Runs are repeated until a pair at the threshold that always meets large nodes is
 found with probability RECALL. Comparing starts with sketches; what passes is linked provisionally,
-and within the components of these links every pair is checked exactly, in blocks, from the texts.
+and within the components of these links pairs are checked exactly, from the texts.
 
-Texts with equal sets are one class, joined once by its least document. Large nodes and components
-are compared block by block, and every block passes on a spanning forest and counts, never its pairs.
+Texts with equal sets are one class, told by 128 bits and the size of the set, and joined once. Large
+nodes are compared block by block, and every block passes on a spanning forest, never its pairs. A
+component of more than EXACT_BLOCK classes or EXACT_TOKENS tokens is cut into blocks of alike classes, and
+only blocks between which a sketch passed are compared, so a long chain of links costs its links and
+not its square; every pair of blocks gives a forest and counts.
 
 Defined cases: a text of one to four words is one run of them all; a null or wordless text is linked
-to nothing; rows with a null id take part, and are classes of their own unless their set is shared;
-repeated rows are documents of their own.
+to nothing, and its class is its own id; rows with a null id take part, and only a component of none
+but null ids has a null class_id; repeated rows, and different texts under one id, are documents of
+their own; ids may be of any type that can be ordered.
 """
 
 from __future__ import annotations
@@ -31,7 +35,9 @@ from .tokens import batch_numbers, sequence_numbers
 
 N, THRESHOLD, RECALL = 5, 0.8, 0.9999
 #: Sets of a node that are compared at once; splits of a larger node; sets of a block of either comparison.
-SMALL, DEPTH, SKETCH_BLOCK, EXACT_BLOCK = 64, 3, 512, 192
+SMALL, DEPTH, SKETCH_BLOCK, EXACT_BLOCK = 64, 3, 512, 512
+#: Tokens of a block that is compared exactly (a longer text is a block of its own).
+EXACT_TOKENS = 400_000
 #: Coordinates of a sketch, two bits each, and how far below the threshold it may be (over four standard deviations).
 COORDS, SLACK = 128, 0.18
 RUNS = math.ceil(math.log(1 - RECALL) / math.log(1 - THRESHOLD**DEPTH))
@@ -119,25 +125,35 @@ def _blocked(df: DataFrame, key: str, size: int) -> DataFrame:
     return with_.withColumn("b", F.explode(pairs)).withColumns({"bi": F.col("b.bi"), "bj": F.col("b.bj")}).drop("b", "blocks")
 
 
+def _passing(part: pa.Table):
+    """Of rows node, bi, bj, own, rep, size, sketch, ...: (i, j) row numbers that may be at the threshold, and dense matrices of large groups."""
+    node, bi, bj, size = (part.column(i).to_numpy() for i in (0, 1, 2, 5))
+    marks = np.frombuffer(b"".join(part.column(6).to_pylist()), np.uint64).reshape(len(node), -1)
+    begin = np.concatenate([[0], np.flatnonzero((node[1:] != node[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1, [len(node)]])
+    count = np.diff(begin)
+    fits = lambda i, j: (alike(marks[i], marks[j]) >= THRESHOLD - SLACK) & (np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j]))
+    few, group, pairs, dense = np.repeat(count <= 8, count), np.repeat(begin[:-1], count), [], []
+    for d in range(1, min(8, len(node))):
+        i = np.flatnonzero(few[:-d] & (group[:-d] == group[d:]))
+        if not len(i):
+            break
+        i = i[fits(i, i + d)]
+        pairs.append((i, i + d))
+    for g in np.flatnonzero(count > 8):
+        at = np.arange(begin[g], begin[g + 1])
+        linked = np.stack([fits(i, at) for i in at])
+        np.fill_diagonal(linked, False)
+        dense.append((at, linked))
+    return pairs, dense
+
+
 def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """node, bi, bj, own, rep, size, sketch in order of the first three: provisional links, a forest of each large group."""
-    for table in _groups(batches, 3):
-        node, bi, bj, own, rep, size = (table.column(i).to_numpy() for i in range(6))
-        marks = np.frombuffer(b"".join(table.column(6).to_pylist()), np.uint64).reshape(len(node), -1)
-        begin = np.concatenate([[0], np.flatnonzero((node[1:] != node[:-1]) | (bi[1:] != bi[:-1]) | (bj[1:] != bj[:-1])) + 1, [len(node)]])
-        count, out = np.diff(begin), []
-        fits = lambda i, j: (alike(marks[i], marks[j]) >= THRESHOLD - SLACK) & (np.minimum(size[i], size[j]) >= THRESHOLD * np.maximum(size[i], size[j]))
-        few = np.repeat(count <= 8, count)
-        for d in range(1, 8):
-            i = np.flatnonzero(few[:-d] & (np.repeat(begin[:-1], count)[:-d] == np.repeat(begin[:-1], count)[d:])) if d < len(node) else np.zeros(0, int)
-            if not len(i):
-                break
-            i = i[fits(i, i + d)]
-            out.append((rep[i], rep[i + d]))
-        for g in np.flatnonzero(count > 8):
-            at = np.arange(begin[g], begin[g + 1])
-            linked = np.stack([fits(i, at) for i in at])
-            np.fill_diagonal(linked, False)
+    for part in _groups(batches, 3):
+        rep = part.column(4).to_numpy()
+        pairs, dense = _passing(part)
+        out = [(rep[i], rep[j]) for i, j in pairs]
+        for at, linked in dense:
             made = np.array(_forest(linked), int).reshape(-1, 2)
             out.append((rep[at[made[:, 0]]], rep[at[made[:, 1]]]))
         if out:
@@ -145,6 +161,24 @@ def _sketch_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
 
 
+def _block_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, bi, bj, own, rep, size, sketch, comp, block in order of the first three: pairs of blocks of which a sketch passed."""
+    for part in _groups(batches, 3):
+        comp, block = part.column(7).to_numpy(), part.column(8).to_numpy()
+        pairs, dense = _passing(part)
+        for at, linked in dense:
+            _, first, kind = np.unique(block[at], return_index=True, return_inverse=True)
+            met = np.zeros((len(first), len(first)), bool)
+            i, j = np.nonzero(linked)
+            met[kind[i], kind[j]] = True
+            i, j = np.nonzero(met)
+            pairs.append((at[first[i]], at[first[j]]))
+        if pairs:
+            i, j = (np.concatenate([p[k] for p in pairs]) for k in (0, 1))
+            told = np.unique(np.stack([comp[i], np.minimum(block[i], block[j]), np.maximum(block[i], block[j])]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in told], names=["comp", "bi", "bj"])
+
+
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     """Matrix of sizes of common parts."""
     m = len(sets)
@@ -202,16 +236,38 @@ def _exact_links(n: int, threshold: float):
     return run
 
 
+def _dealt(members: DataFrame, small: DataFrame, scratch: Scratch) -> DataFrame:
+    """members (rep, root, size, c0, ...) dealt to pairs of blocks of their component: comp, bi <= bj, own."""
+    stats = members.groupBy("root").agg(F.count("*").alias("n"), F.sum("size").alias("tokens"))
+    blocks = lambda n, tokens: F.greatest(F.ceil(F.col(n) / EXACT_BLOCK), F.ceil(F.col(tokens) / EXACT_TOKENS))
+    known = members.join(stats, "root").withColumn("parts", blocks("n", "tokens"))
+    whole = known.where("parts = 1").select("*", F.col("root").alias("comp"), *[F.lit(0).cast("long").alias(c) for c in ("bi", "bj", "own")])
+    # Classes with one first node are likely alike: large clusters of them get blocks of their own, small ones share.
+    clusters = known.where("parts > 1").groupBy("root", "c0").agg(F.count("*").alias("cn"), F.sum("size").alias("ct"))
+    cut = known.where("parts > 1").join(clusters, ["root", "c0"])
+    large = (F.col("cn") * 4 > EXACT_BLOCK) | (F.col("ct") * 4 > EXACT_TOKENS)
+    own = F.when(large, F.xxhash64("c0", F.pmod(F.xxhash64("rep"), blocks("cn", "ct")))).otherwise(F.pmod(F.xxhash64("c0"), 2 * F.col("parts")))
+    cut = scratch.keep(cut.withColumn("own", own).withColumn("comp", F.col("root")).drop("cn", "ct"), "cut")
+    if cut.isEmpty():
+        return whole
+    again = _blocked(small.join(cut.select("rep", "comp", F.col("own").alias("block")), "rep"), "node", SKETCH_BLOCK)
+    again = again.select("node", "bi", "bj", "own", "rep", "size", "sketch", "comp", "block").repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
+    met = scratch.keep(again.mapInArrow(_block_links, "comp long, bi long, bj long").distinct(), "blocks")
+    sides = met.select("comp", F.col("bi").alias("own"), "bi", "bj").unionAll(met.where("bi != bj").select("comp", F.col("bj").alias("own"), "bi", "bj"))
+    return whole.unionByName(cut.join(sides, ["comp", "own"]))
+
+
 def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, class_id, n_links): class_id the least document of its component of links, n_links the other documents at the threshold or above."""
     scratch = Scratch(documents.sparkSession, "jaccard")
-    rows = documents.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt"))
+    kind = documents.schema[id_col].dataType.simpleString()
+    rows = documents.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("txt")).select("id", F.xxhash64("txt").alias("th"), "txt")
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                numbers, counts = batch_numbers(part.column(1).to_pylist())
+                numbers, counts = batch_numbers(part.column(2).to_pylist())
                 size, key, second, sketch, nodes = [], [], [], [], []
                 for words in np.split(numbers, np.cumsum(counts)[:-1]):
                     tokens = shingles(words)
@@ -223,17 +279,18 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     nodes.append(paths(least).ravel())
                 offsets = np.arange(len(nodes) + 1, dtype=np.int32) * RUNS * DEPTH
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(second, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate(nodes))],
-                    names=["id", "size", "k1", "k2", "sketch", "nodes"],
+                    [part.column(0), part.column(1), pa.array(size, pa.int64()), pa.array(key, pa.int64()), pa.array(second, pa.int64()), pa.array(sketch, pa.binary()), pa.ListArray.from_arrays(offsets, np.concatenate(nodes))],
+                    names=["id", "th", "size", "k1", "k2", "sketch", "nodes"],
                 )
 
-    signed = scratch.keep(rows.mapInArrow(sign, "id long, size long, k1 long, k2 long, sketch binary, nodes array<long>"), "signed")
+    signed = scratch.keep(rows.mapInArrow(sign, f"id {kind}, th long, size long, k1 long, k2 long, sketch binary, nodes array<long>"), "signed")
     keys = ["k1", "k2", "size"]
-    classes = scratch.keep(signed.where("size > 0").groupBy(*keys).agg(F.min("id").alias("rep"), F.count("*").alias("copies")), "classes")
-    # One row a class walks on: the row of its least document (rows repeated with one id give the same nodes).
-    walkers = signed.where("size > 0").select("id", *keys, "sketch", "nodes").join(classes.select(F.col("rep").alias("id"), *keys), ["id", *keys]).dropDuplicates(["id", *keys])
-    walkers = walkers.select(F.col("id").alias("rep"), "size", "sketch", F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("nodes", r * DEPTH + 1, DEPTH))).alias("path"))
-    now, leaves = scratch.keep(walkers, "walk0"), []
+    # One row a class walks on. Its number is fixed by being written.
+    least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
+    classes = signed.where("size > 0").groupBy(*keys).agg(least.alias("first"), F.count("*").alias("copies"), F.first("sketch").alias("sketch"), F.first("nodes").alias("nodes"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
+    path = F.explode(F.transform(F.sequence(F.lit(0), F.lit(RUNS - 1)), lambda r: F.slice("nodes", r * DEPTH + 1, DEPTH)))
+    now, leaves = scratch.keep(classes.select("rep", "size", "sketch", path.alias("path")), "walk0"), []
     for depth in range(DEPTH):
         at = now.withColumn("node", F.element_at("path", depth + 1))
         sizes = at.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
@@ -245,35 +302,37 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     small = leaves[0].unionAll(leaves[1]).unionAll(leaves[2])
     dealt = _blocked(small, "node", SKETCH_BLOCK).select("node", "bi", "bj", "own", "rep", "size", "sketch")
     met = dealt.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
-    near = components(met.mapInArrow(_sketch_links, "a long, b long"), "a", "b", scratch, "near")
-    near = scratch.keep(near, "components")
+    near = scratch.keep(components(met.mapInArrow(_sketch_links, "a long, b long"), "a", "b", scratch, "near"), "components")
     scratch.release()
-    groups = near.groupBy("root").agg(F.count("*").alias("n"))
-    members = near.join(groups, "root").select(F.col("root").alias("comp"), F.col("node").alias("rep"), "n")
-    members = members.join(classes.groupBy("rep").agg(F.sum("copies").alias("copies")), "rep")
-    texts = rows.join(members.withColumnRenamed("rep", "id"), "id").dropDuplicates(["id"]).withColumnRenamed("id", "rep")
-    dealt = _blocked(texts, "comp", EXACT_BLOCK).select("comp", "bi", "bj", "own", "rep", "copies", "txt")
+    members = near.withColumnRenamed("node", "rep").join(classes.select("rep", "size", "copies", "first", F.get("nodes", F.lit(0)).alias("c0")), "rep")
+    dealt = _dealt(scratch.keep(members, "members"), small, scratch)
+    texts = rows.join(members.select("rep", F.col("first.id").alias("mid"), F.col("first.th").alias("mth")), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("rep", "txt").dropDuplicates(["rep"])
+    dealt = dealt.select("comp", "bi", "bj", "own", "rep", "copies").join(texts, "rep").select("comp", "bi", "bj", "own", "rep", "copies", "txt")
     exact = scratch.keep(dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_exact_links(N, THRESHOLD), "a long, b long, w long"), "exact")
-    roots = components(exact.where("b is not null"), "a", "b", scratch, "links")
+    roots = scratch.keep(components(exact.where("b is not null"), "a", "b", scratch, "links"), "roots").withColumnRenamed("node", "rep")
     counts = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))
-    ends = classes.join(roots.withColumnRenamed("node", "rep"), "rep", "left").join(counts, "rep", "left")
-    ends = ends.select(*keys, F.coalesce("root", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    firsts = roots.join(classes.select("rep", "first"), "rep").groupBy("root").agg(F.min("first")["id"].alias("least"))
+    linked = roots.join(firsts, "root").join(counts, "rep", "left").select("rep", "root", "least", "links")
+    ends = classes.select("rep", *keys, "copies", "first").join(linked, "rep", "left")
+    ends = ends.select(*keys, F.when(F.col("root").isNull(), F.col("first.id")).otherwise(F.col("least")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
     done = signed.select("id", *keys).join(ends, keys, "left")
-    return done.select(F.col("id").alias(id_col), F.coalesce("class_id", "id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
+    return done.select(F.col("id").alias(id_col), F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
 def keep_one(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """documents without those whose class has a lesser document (null ids last); repeated rows of the kept one stay once.
 
     Rows are told apart by a number of their own, so that null ids, and different texts under one id, are documents too.
-    Wordless texts are in no class: of those only rows repeated with their id go.
+    Wordless texts are in no class: of those only rows repeated with their id go. Columns may have any names.
     """
-    scratch = Scratch(documents.sparkSession, "kept")
-    rows = scratch.keep(documents.withColumns({"_row": F.monotonically_increasing_id(), "_mark": F.xxhash64(text_col)}), "rows")
-    linked = scratch.keep(join(rows, "_row", text_col).where("n_links > 0 or _row != class_id").select("_row", "class_id"), "linked")
-    order = F.struct(F.col(id_col).isNull(), id_col, "_mark", "_row")
-    first = linked.join(rows.select("_row", id_col, "_mark"), "_row").groupBy("class_id").agg(F.min(order)["_row"].alias("_row"))
-    bare = rows.where(F.col(id_col).isNotNull() & ~F.coalesce(F.col(text_col), F.lit("")).rlike(WORD))
-    once = bare.groupBy(id_col, text_col).agg(F.min("_row").alias("_row"))
-    gone = linked.select("_row").join(first, "_row", "left_anti").unionAll(bare.select("_row").join(once, "_row", "left_anti"))
-    return rows.join(gone, "_row", "left_anti").drop("_row", "_mark")
+    scratch, columns = Scratch(documents.sparkSession, "kept"), documents.columns
+    doc = F.struct(*[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(columns)])
+    rows = documents.select(doc.alias("doc"), F.col(id_col).alias("id"), F.col(text_col).alias("txt"), F.xxhash64(text_col).alias("mark"), F.monotonically_increasing_id().alias("row"))
+    rows = scratch.keep(rows.drop("txt"), "rows").withColumn("txt", F.col(f"doc.c{columns.index(text_col)}"))
+    linked = scratch.keep(join(rows.select("row", "txt"), "row", "txt").where("n_links > 0 or row != class_id").select("row", "class_id"), "linked")
+    order = F.struct(F.col("id").isNull(), "id", "mark", "row")
+    first = linked.join(rows.select("row", "id", "mark"), "row").groupBy("class_id").agg(F.min(order)["row"].alias("row"))
+    bare = rows.where(F.col("id").isNotNull() & ~F.coalesce("txt", F.lit("")).rlike(WORD))
+    once = bare.groupBy("id", "txt").agg(F.min("row").alias("row"))
+    gone = linked.select("row").join(first, "row", "left_anti").unionAll(bare.select("row").join(once, "row", "left_anti"))
+    return rows.join(gone, "row", "left_anti").select(*[F.col(f"doc.c{i}").alias(c) for i, c in enumerate(columns)])
