@@ -2,8 +2,9 @@
 
 A payload is stored as a WAV file of unsigned 8-bit samples. Features come from the stored bytes:
 polyphase resampling, overlapped log-mel filterbanks, and segments of energy by hysteresis. The
-filterbank frames are cut into clips of one shape (FRAMES x MELS float32, an Arrow fixed-shape
-tensor), each with its time span; sound is worked through in blocks, so memory doesn't grow with it.
+filterbank frames are cut into clips of one shape and stored in a column of Arrow streams: one
+fixed-shape tensor (FRAMES x MELS float32) a clip beside its time span. Sound is worked through in
+blocks, so that working memory doesn't grow with it.
 
 Defined cases: a null text is empty; an empty payload is 64 zero bytes; the last clip is padded with
 the floor value; equal texts have equal files and features; repeated rows repeat their result.
@@ -138,11 +139,43 @@ def features(samples: bytes) -> tuple[np.ndarray, list[tuple[float, float]], lis
     return made, spans, [tuple(s) for s in segments]
 
 
-def as_tensors(clips: pa.ListArray) -> pa.ExtensionArray:
-    """Flattened clips as Arrow fixed-shape tensors, for files that hold the extension type."""
-    kind = pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))
-    flat = pa.FixedSizeListArray.from_arrays(clips.flatten().cast(pa.float32()), FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(kind, flat)
+_CLIP = pa.schema([("clip", pa.fixed_shape_tensor(pa.float32(), (FRAMES, MELS))), ("start_s", pa.float64()), ("end_s", pa.float64())])
+
+
+def to_tensors(clips: np.ndarray, spans: list[tuple[float, float]]) -> bytes:
+    """An Arrow stream of clips as fixed-shape tensors with their time spans."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, _CLIP) as out:
+        flat = pa.FixedSizeListArray.from_arrays(pa.array(np.ascontiguousarray(clips, np.float32).ravel()), FRAMES * MELS)
+        start, end = (pa.array([s[i] for s in spans], pa.float64()) for i in (0, 1))
+        out.write_batch(pa.record_batch([pa.ExtensionArray.from_storage(_CLIP.field(0).type, flat), start, end], schema=_CLIP))
+    return sink.getvalue().to_pybytes()
+
+
+def from_tensors(stored: bytes) -> tuple[np.ndarray, list[tuple[float, float]]]:
+    """Clips (n, FRAMES, MELS) and time spans of a stored stream."""
+    read = pa.ipc.open_stream(stored).read_all().combine_chunks()
+    clip = read.column("clip").chunk(0)
+    return clip.to_numpy_ndarray(), list(zip(read.column("start_s").to_pylist(), read.column("end_s").to_pylist()))
+
+
+def clips(analysed: DataFrame, id_col: str = "doc_id", tensors_col: str = "tensors") -> DataFrame:
+    """(id_col, clip_no from 0, start_s, end_s, clip array<float>): the stored clips read back, a row each."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, stored in enumerate(batch.column(1)):
+                made, spans = from_tensors(stored.as_py())
+                for at in range(0, len(made), 256):
+                    part, when = made[at : at + 256], spans[at : at + 256]
+                    offsets = np.arange(len(part) + 1, dtype=np.int32) * FRAMES * MELS
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([batch.column(0)[i].as_py()] * len(part), batch.schema.field(0).type), pa.array(np.arange(at, at + len(part))), *(pa.array([s[k] for s in when], pa.float64()) for k in (0, 1)), pa.ListArray.from_arrays(offsets, part.ravel())],
+                        names=["key", "clip_no", "start_s", "end_s", "clip"],
+                    )
+
+    kind = analysed.schema[id_col].dataType.simpleString()
+    return analysed.select(F.col(id_col).alias("key"), tensors_col).mapInArrow(run, f"key {kind}, clip_no long, start_s double, end_s double, clip array<float>").withColumnRenamed("key", id_col)
 
 
 def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -163,14 +196,13 @@ _SPAN = T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.St
 _READ = T.StructType(
     [
         T.StructField("payload_bytes", T.LongType()), T.StructField("payload_sha256", T.StringType()), T.StructField("tail_crc32", T.LongType()),
-        T.StructField("clips", T.ArrayType(T.FloatType()), True, {"ARROW:extension:name": "arrow.fixed_shape_tensor", "shape": [FRAMES, MELS]}),
-        T.StructField("clip_spans", _SPAN), T.StructField("segments", _SPAN),
+        T.StructField("tensors", T.BinaryType()), T.StructField("n_clips", T.LongType()), T.StructField("segments", _SPAN),
     ]
 )
 
 
 def analyse(media: DataFrame, media_col: str = "media") -> DataFrame:
-    """media with digests of the samples read back, clips (flattened, one after another), their spans, and segments."""
+    """media with digests of the samples read back, clips as stored tensors with their spans, how many, and segments."""
     place, columns = media.columns.index(media_col), media.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +213,11 @@ def analyse(media: DataFrame, media_col: str = "media") -> DataFrame:
                 part = batch.slice(at, 64)
                 payloads = [from_wav(x.as_py()) for x in part.column(place)]
                 made = [features(p) for p in payloads]
-                offsets = np.cumsum([0, *(c.size for c, _, _ in made)], dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         *part.columns, pa.array(map(len, payloads), pa.int64()), pa.array((hashlib.sha256(p).hexdigest() for p in payloads), pa.string()),
-                        pa.array((zlib.crc32(p[-PAD:]) for p in payloads), pa.int64()), pa.ListArray.from_arrays(offsets, np.concatenate([c.ravel() for c, _, _ in made])),
-                        pa.array([spans_of(s) for _, s, _ in made], span), pa.array([spans_of(s) for _, _, s in made], span),
+                        pa.array((zlib.crc32(p[-PAD:]) for p in payloads), pa.int64()), pa.array((to_tensors(c, s) for c, s, _ in made), pa.binary()),
+                        pa.array((len(s) for _, s, _ in made), pa.int64()), pa.array([spans_of(s) for _, _, s in made], span),
                     ],
                     names=[*columns, *_READ.names],
                 )
@@ -199,5 +230,5 @@ def report(documents: DataFrame) -> DataFrame:
     read = analyse(store(documents))
     return read.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"),
-        F.concat_ws(":", F.size("clip_spans"), F.size("segments"), F.hex(F.xxhash64("clips", "segments"))).alias("feature"),
+        F.concat_ws(":", "n_clips", F.size("segments"), F.hex(F.xxhash64("tensors", "segments"))).alias("feature"),
     )
