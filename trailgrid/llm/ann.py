@@ -32,7 +32,7 @@ from .common import Scratch, unit
 #: Vectors that first centroids are fitted on (at most, a bounded sample by a hash of the id), vectors of a list, centroids that a list is split by, levels of splits.
 SAMPLE, LIST, FANOUT, LEVELS = 32_768, 500, 64, 3
 #: Distance ratio within which a vector is replicated; recall that search ratios are fitted to, and queries that they are fitted by.
-REPLICA_RATIO, RECALL, PROBES = 1.02, 0.97, 128
+REPLICA_RATIO, RECALL, PROBES = 1.02, 0.98, 128
 #: Links of a centroid in the graph; candidates that a search holds at first (doubled where all of them are within the ratio).
 LINKS, BEAM = 24, 32
 #: Vectors and queries of one list that one task compares.
@@ -227,6 +227,8 @@ def _to_children(rows: DataFrame, children: DataFrame, sizes: DataFrame, lifted,
 def _fitted(truth: pd.DataFrame, y: np.ndarray, held: DataFrame, centres: DataFrame | np.ndarray, recall: float) -> float:
     """The ratio within which lists hold `recall` of the true neighbours (probe, vid), given posts (list, vid) and centres (list, centre)."""
     spark = held.sparkSession
+    if not len(truth):
+        return math.inf
     wanted = held.join(F.broadcast(spark.createDataFrame(truth[["probe", "vid"]])), "vid").select("probe", "vid", "list").toPandas()  # at most PROBES x k x replicas
     if isinstance(centres, np.ndarray):
         d = distances(y, centres)
