@@ -1,18 +1,23 @@
 """Substring dedup by recompression.
 
-Each round names, by one hash for the whole corpus, first runs of a word (round 0) and then pairs of
-neighbouring symbols whose sides, a bit of their hash, are left and right. Names depend on nearby
-words only, and with each symbol goes the interval of words that fixed it, so a symbol within a
-window stands in every copy of that window. A Spark aggregation finds symbols shared by different
-texts. A window that holds a symbol no other text has cannot repeat; all other windows are numbered
-word by word, and the least document of each number decides what is removed.
+Names are given by one hash for the whole corpus: first to runs of a word, then level by level to pairs
+of neighbouring symbols whose sides, a bit of their hash, are left and right. A name depends on nearby
+words only, and with each symbol goes the interval of words that fixed it, so a symbol within a window
+stands in every copy of that window. Two Spark rounds tell over all texts which names are shared:
 
-Exact copies are settled by their texts. Windows with no symbol of their own (long runs) are always
-numbered, so the filter loses nothing. Numbers have 64 bits.
+1. level ROUNDS of all texts. A window that holds a name no other text has cannot repeat.
+2. level ROUNDS + MORE, where names are paired on only between neighbours that are shared (all others are
+   separators now): again a window that holds an unshared name goes.
+
+What is left is verified: windows are equal if a 64-bit number of their words and a 32-bit sum of the
+shared names inside them are. The least document of each decides what is removed.
+
+Exact copies are settled by their texts; only the least document of a text goes through the rounds.
+Windows with no symbol of their own (long runs) are always numbered, so the rounds lose nothing.
 
 Defined cases: a null text has no words; a null id precedes and follows nothing, so nothing of its
 row is removed and it removes nothing; repeated rows with one id don't remove each other's words;
-texts shorter than a window are kept whole.
+texts shorter than a window are kept whole; ids are integers.
 """
 
 from __future__ import annotations
@@ -28,13 +33,14 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix
 from .tokens import batch_numbers, sequence_numbers, split_words, with_separators
 
-WINDOW, ROUNDS = 50, 7
+#: Words of a window; levels of the first round and of the second above it.
+WINDOW, ROUNDS, MORE = 50, 7, 3
 _A, _B, _C = np.uint64(0xA0761D6478BD642F), np.uint64(0xE7037ED1A0B428DB), np.uint64(0x8EBC6AF09C88C6E3)
 
 
 def runs(s: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Round 0: each maximal run of one word becomes a symbol, fixed by its words and the two beside it."""
-    start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | bar[1:] | bar[:-1]]))
+    """Level 0: each maximal run of one word becomes a symbol, fixed by its words and the two beside it. bar: 1 at separators."""
+    start = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (bar[1:] > 0) | (bar[:-1] > 0)]))
     end = np.append(start[1:], len(s))
     length = end - start
     named = np.where(length > 1, mix(s[start] * _A + length.astype(np.uint64)), s[start])
@@ -42,11 +48,11 @@ def runs(s: np.ndarray, bar: np.ndarray) -> tuple[np.ndarray, ...]:
 
 
 def pairs(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, bar: np.ndarray, r: int) -> tuple[np.ndarray, ...]:
-    """One round of naming left-right pairs, with the intervals of words that fixed each symbol."""
-    right = (mix(s + mix(np.array([r], np.uint64) * _C)) & np.uint64(1)).astype(bool)
+    """One level of naming left-right pairs, with the intervals of words that fixed each symbol; symbols with a bar stay alone."""
+    right, barred = (mix(s + mix(np.array([r], np.uint64) * _C)) & np.uint64(1)).astype(bool), bar > 0
     right[0], right[-1] = False, True  # separators, which are in no pair
     head = np.zeros(len(s), bool)
-    head[:-1] = ~(right[:-1] | bar[:-1] | bar[1:]) & right[1:]
+    head[:-1] = ~(right[:-1] | barred[:-1] | barred[1:]) & right[1:]
     tail = np.zeros(len(s), bool)
     tail[1:] = head[:-1]
     out, new_lo, new_hi = s.copy(), lo.copy(), hi.copy()
@@ -60,16 +66,54 @@ def pairs(s: np.ndarray, lo: np.ndarray, hi: np.ndarray, bar: np.ndarray, r: int
     return out[keep], new_lo[keep], new_hi[keep], bar[keep]
 
 
-def recompress(words: np.ndarray, bar: np.ndarray, rounds: int = ROUNDS) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(symbols, lo, hi, text of each) of texts between separators; [lo, hi) are the places that fixed a symbol.
+class Levels:
+    """Symbols of a batch of texts at a level: names s, places [lo, hi) that fixed them, bars (1 between texts, 2 where a name is not shared).
 
-    What reached a separator has its place in [lo, hi), so that no window of a text holds it.
+    What reached a separator has its place in [lo, hi), so that no window of a text holds it; nor does any
+    repeated window hold a symbol that reached an unshared one.
     """
-    s, lo, hi, at = runs(words, bar)
-    for r in range(1, rounds + 1):
-        s, lo, hi, at = pairs(s, lo, hi, at, r)
-    text = np.cumsum(at) - 1
-    return s[~at], lo[~at], hi[~at], text[~at]
+
+    def __init__(self, texts: list[str | None], rounds: int):
+        numbers, self.counts = batch_numbers(texts)
+        self.words, bar, self.first = with_separators(numbers, self.counts)
+        self.s, self.lo, self.hi, self.bar = runs(self.words, bar.astype(np.int8))
+        self.level = 0
+        self.rise(rounds)
+
+    def rise(self, rounds: int) -> None:
+        for _ in range(rounds):
+            self.level += 1
+            self.s, self.lo, self.hi, self.bar = pairs(self.s, self.lo, self.hi, self.bar, self.level)
+
+    def live(self) -> tuple[np.ndarray, np.ndarray]:
+        """Places of symbols without a bar, and the text of each."""
+        at = np.flatnonzero(self.bar == 0)
+        return at, (np.cumsum(self.bar == 1) - 1)[at]
+
+    def lists(self, keep: np.ndarray | None = None) -> pa.ListArray:
+        """Names of the symbols without a bar, a list a text (of the texts to keep)."""
+        at, text = self.live()
+        if keep is not None:
+            at = at[keep[text]]
+            text = text[keep[text]]
+        offsets = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(self.counts)))]).astype(np.int32)
+        return pa.ListArray.from_arrays(offsets, self.s[at].view(np.int64))
+
+    def bar_unshared(self, shared: pa.ListArray) -> np.ndarray:
+        """Puts bars on all symbols but those at the given numbers among their text's; returns the places of the new bars."""
+        at, text = self.live()
+        base = np.searchsorted(text, np.arange(len(self.counts)))
+        lengths = np.diff(shared.offsets.to_numpy())
+        known = np.zeros(len(at), bool)
+        known[shared.flatten().to_numpy(zero_copy_only=False) + np.repeat(base, lengths)] = True
+        self.bar[at[~known]] = 2
+        return at[~known]
+
+    def check(self, starts: np.ndarray, window: int) -> np.ndarray:
+        """32 bits of the sum of the names that the window at each start holds."""
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(mix(self.s))])
+        a, b = np.searchsorted(self.lo, starts), np.searchsorted(self.hi, starts + window, "right")
+        return np.where(b > a, mix(total[np.maximum(a, b)] - total[a]), 0).astype(np.uint64).astype(np.uint32).view(np.int32)
 
 
 def uncovered(lo: np.ndarray, hi: np.ndarray, places: int, window: int) -> np.ndarray:
@@ -102,60 +146,82 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
                 texts = part.column(3).to_pylist()
-                numbers, counts = batch_numbers(texts)
-                words, bar, first = with_separators(numbers, counts)
-                s, lo, hi, text = recompress(words, bar, rounds)
-                place, owner = starts_of(first, counts, window)
-                blind = np.bincount(owner, weights=uncovered(lo, hi, len(words), window)[place], minlength=len(texts)) > 0
-                long = counts[text] >= window
-                offsets = np.concatenate([[0], np.cumsum(np.bincount(text[long], minlength=len(texts)))]).astype(np.int32)
-                symbols = pa.ListArray.from_arrays(offsets, s[long].view(np.int64))
+                level = Levels(texts, rounds)
+                place, owner = starts_of(level.first, level.counts, window)
+                live, _ = level.live()
+                blind = np.bincount(owner, weights=uncovered(level.lo[live], level.hi[live], len(level.words), window)[place], minlength=len(texts)) > 0
                 sha = pa.array([_digest(split_words(t)) for t in texts], pa.string())
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(counts, pa.int64()), sha, symbols, pa.array(blind)], names=["id", "th", "tl", "n_words", "sha", "symbols", "blind"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(level.counts, pa.int64()), sha, level.lists(level.counts >= window), pa.array(blind)], names=["id", "th", "tl", "n_words", "sha", "symbols", "blind"])
 
     parsed = scratch.keep(rows.mapInArrow(parse, "id long, th long, tl long, n_words long, sha string, symbols array<long>, blind boolean"), "parsed")
-    parsed_ids = parsed.where("id is not null")
-    first = parsed_ids.groupBy("th", "tl").agg(F.min("id").alias("first"))
-    occurrences = parsed_ids.select("id", "th", F.posexplode("symbols").alias("i", "s"))
-    # Written first: the join then reads two plain sides, of which Spark splits the hot one.
-    shared = scratch.keep(occurrences.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a != b").select("s"), "shared")
+    firsts = parsed.where("id is not null").groupBy("th", "tl").agg(F.min("id").alias("first"))
+    known = scratch.keep(parsed.select("id", "th", "tl", "n_words", "sha").join(firsts, ["th", "tl"], "left"), "known")
+    once = parsed.where("n_words >= " + str(window)).select("id", "th", "tl", "symbols", "blind").join(firsts.withColumnRenamed("first", "id"), ["id", "th", "tl"], "left_semi")
+
+    def shared_names(symbols: DataFrame, name: str) -> DataFrame:
+        """One Spark round: (id, th, shared), the numbers of the symbols whose names stand in two texts or more."""
+        occurrences = symbols.select("id", "th", F.posexplode("symbols").alias("i", "s"))
+        # Written first: the join then reads two plain sides, of which Spark splits the hot one.
+        both = scratch.keep(occurrences.groupBy("s").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a != b").select("s"), f"{name} names")
+        scratch.release()
+        return occurrences.join(both, "s").groupBy("id", "th").agg(F.collect_set("i").alias("shared"))
+
+    once = scratch.keep(once, "once")
+    scratch.drop("parsed")
+    marks = shared_names(once, "first").unionByName(once.where("blind").select("id", "th", F.array().cast("array<int>").alias("shared")))
+    marks = scratch.keep(marks.groupBy("id", "th").agg(F.array_distinct(F.flatten(F.collect_list("shared"))).alias("shared")), "marks")
+    scratch.drop("once", "first names")
     scratch.release()
-    marks = occurrences.join(shared, "s").groupBy("id", "th").agg(F.collect_list("i").alias("shared"))
-    marks = scratch.keep(marks.unionByName(parsed_ids.where("blind").select("id", "th", F.array().cast("array<int>").alias("shared"))).groupBy("id", "th").agg(F.flatten(F.collect_list("shared")).alias("shared")), "marks")
-    known = scratch.keep(parsed.select("id", "th", "tl", "n_words", "sha").join(first, ["th", "tl"], "left"), "known")
-    scratch.drop("parsed", "shared")
+
+    def open_windows(level: Levels, barred: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(place, text) of the windows that hold none of the symbols."""
+        place, owner = starts_of(level.first, level.counts, window)
+        fine = uncovered(level.lo[barred], level.hi[barred], len(level.words), window)[place]
+        return place[fine], owner[fine]
+
+    def deepen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                level = Levels(part.column(2).to_pylist(), rounds)
+                _, owner = open_windows(level, level.bar_unshared(part.column(3)))
+                if len(owner):
+                    level.rise(MORE)
+                    take = pa.array(np.unique(owner))
+                    yield pa.RecordBatch.from_arrays([c.take(take) for c in [*part.columns, level.lists()]], names=["id", "th", "txt", "shared", "symbols"])
+
+    texts = rows.select("id", "th", "txt").join(marks, ["id", "th"]).dropDuplicates(["id", "th"])
+    opened = scratch.keep(texts.mapInArrow(deepen, "id long, th long, txt string, shared array<int>, symbols array<long>"), "opened")
+    scratch.drop("marks")
     scratch.release()
+    again = scratch.keep(shared_names(opened, "second").withColumnRenamed("shared", "above"), "above")
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                numbers, counts = batch_numbers(part.column(2).to_pylist())
-                words, bar, first = with_separators(numbers, counts)
-                s, lo, hi, text = recompress(words, bar, rounds)
-                known = part.column(3)
-                is_shared = np.zeros(len(s), bool)
-                base = np.concatenate([[0], np.cumsum(np.bincount(text, minlength=len(counts)))])
-                is_shared[known.flatten().to_numpy(zero_copy_only=False) + np.repeat(base[:-1], np.diff(known.offsets.to_numpy()))] = True
-                place, owner = starts_of(first, counts, window)
-                open_ = uncovered(lo[~is_shared], hi[~is_shared], len(words), window)[place]
-                place, owner = place[open_], owner[open_]
+                level = Levels(part.column(2).to_pylist(), rounds)
+                unshared = level.bar_unshared(part.column(3))
+                place, owner = open_windows(level, unshared)
+                level.rise(MORE)
+                above = level.bar_unshared(part.column(4))
+                fine = uncovered(level.lo[above], level.hi[above], len(level.words), window)[place]
+                place, owner = place[fine], owner[fine]
                 if len(place):
                     take, n = np.unique(owner, return_counts=True)
                     offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                     chosen = part.take(pa.array(take))
-                    at_in_text = pa.ListArray.from_arrays(offsets, (place - first[owner]).astype(np.int32))
-                    windows = pa.ListArray.from_arrays(offsets, _some(words, place, window).view(np.int64))
-                    yield pa.RecordBatch.from_arrays([*chosen.columns[:3], at_in_text, windows], names=["id", "th", "txt", "at", "number"])
+                    lists = [(place - level.first[owner]).astype(np.int32), _some(level.words, place, window).view(np.int64), level.check(place, window)]
+                    yield pa.RecordBatch.from_arrays([*chosen.columns[:3], *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["id", "th", "txt", "at", "number", "verify"])
 
-    texts = rows.select("id", "th", "txt").join(marks, ["id", "th"])
-    numbered = scratch.keep(texts.mapInArrow(number, "id long, th long, txt string, at array<int>, number array<long>"), "numbered")
-    scratch.drop("marks")
+    given = opened.drop("symbols").join(again, ["id", "th"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<int>")))
+    numbered = scratch.keep(given.mapInArrow(number, "id long, th long, txt string, at array<int>, number array<long>, verify array<int>"), "numbered")
+    scratch.drop("opened", "above", "second names")
     scratch.release()
-    windows = numbered.select("id", "th", F.explode(F.arrays_zip("at", "number")).alias("w")).select("id", "th", "w.at", "w.number")
-    least = scratch.keep(windows.groupBy("number").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("number", "least"), "least")
+    windows = numbered.select("id", "th", F.explode(F.arrays_zip("at", "number", "verify")).alias("w")).select("id", "th", "w.at", "w.number", "w.verify")
+    least = scratch.keep(windows.groupBy("number", "verify").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least != most").select("number", "verify", "least"), "least")
     scratch.release()
-    hits = windows.join(least, "number").where("id > least").groupBy("id", "th").agg(F.collect_set("at").alias("starts"))
+    hits = windows.join(least, ["number", "verify"]).where("id > least").groupBy("id", "th").agg(F.collect_set("at").alias("starts"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -172,7 +238,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), span)))], names=["id", "th", "n_removed", "kept", "removed"])
 
     removed_kind = "array<struct<from:bigint,to:bigint>>"
-    partly = numbered.select("id", "th", "txt").dropDuplicates(["id", "th"]).join(hits, ["id", "th"]).mapInArrow(remove, f"id long, th long, n_removed long, kept string, removed {removed_kind}")
+    partly = numbered.select("id", "th", "txt").join(hits, ["id", "th"]).mapInArrow(remove, f"id long, th long, n_removed long, kept string, removed {removed_kind}")
     partly = scratch.keep(partly, "partly")
     scratch.release()
     whole = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
