@@ -9,7 +9,7 @@ import re
 import numpy as np
 import pytest
 
-from trailgrid.llm import audio, jaccard, language, mixing, pii, sharding
+from trailgrid.llm import audio, jaccard, language, mixing, pii, sharding, substrings
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -241,3 +241,56 @@ def test_stages_carry_columns_of_any_name(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, " + ", ".join(f"{c} string" for c in names))
     for made in (jaccard.keep_one(docs), mixing.apply(docs), pii.mask(docs)):
         assert made.columns == docs.columns and made.count() and made.where("doc_id is not null and (_row <> 'x' or cut <> 'x')").count() == 0
+
+
+def plain_removed(words, window=50):
+    first = {}
+    for i in sorted(words):
+        for p in range(len(words[i]) - window + 1):
+            first.setdefault(tuple(words[i][p : p + window]), i)
+    return {i: {q for p in range(len(w) - window + 1) if first[tuple(w[p : p + window])] < i for q in range(p, p + window)} for i, w in words.items()}
+
+
+def test_passages_of_all_lengths_runs_and_near_passages(spark):
+    rng = random.Random(10)
+    passage = [f"p{i}" for i in range(400)]
+    texts = {}
+    for i in range(150):
+        w = [f"u{rng.randrange(50_000)}" for _ in range(rng.randrange(5, 90))]
+        for _ in range(rng.randrange(3)):
+            a = rng.randrange(340)
+            part = passage[a : a + rng.choice([20, 48, 49, 50, 51, 60, 200])]
+            if rng.random() < 0.3:
+                part = [*part[:25], "changed", *part[26:]]
+            at = rng.randrange(len(w) + 1)
+            w[at:at] = part
+        if i % 9 == 0:
+            w += ["run"] * rng.randrange(40, 130) + ["a", "b"] * rng.randrange(10, 60)
+        texts[i] = w
+    texts[200] = texts[3]
+    gone = plain_removed(texts)
+    rows = [(i, rng.choice([" ", "\n", " \t"]).join(w)) for i, w in texts.items()] + [(200, " ".join(texts[3])), (None, " ".join(passage)), (300, None)]
+    for r in substrings.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect():
+        if r.doc_id in texts:
+            kept = " ".join(x for q, x in enumerate(texts[r.doc_id]) if q not in gone[r.doc_id])
+            assert (r.n_removed, r.kept_sha256) == (len(gone[r.doc_id]), hashlib.sha256(kept.encode()).hexdigest())
+        else:
+            assert r.n_removed == 0
+
+
+def test_symbols_of_a_passage_are_the_same_wherever_it_stands():
+    rng = random.Random(11)
+    passage = " ".join(f"p{rng.randrange(300)}" for _ in range(300))
+    pad = lambda: " ".join(f"q{rng.randrange(300)}" for _ in range(rng.randrange(1, 40)))
+    levels = substrings.Levels([f"{pad()} {passage} {pad()}" for _ in range(6)], 7)
+    assert all(np.all(np.diff(x) >= 0) for x in (levels.lo, levels.hi))
+    words = np.array([int(w) for w in levels.words])
+    first = int(substrings.Levels([passage], 0).words[1])
+    begin = [int(p) for p in np.flatnonzero(words == first)]
+    checks = {}
+    for p in begin:
+        for q in range(251):
+            if p + q + 50 < len(words) and not (np.diff(levels.first[:, None] <= np.array([p + q, p + q + 49]), axis=1)).any():
+                key = tuple(words[p + q : p + q + 50])
+                checks.setdefault(key, set()).add(int(levels.check(np.array([p + q]), 50)[0]))
+    assert max(map(len, checks.values())) == 1 and len({c for x in checks.values() for c in x}) > 100
