@@ -8,8 +8,10 @@ searches all lists within a distance ratio of the nearest: nothing else ends the
 fitted for each level to RECALL by exact answers of PROBES queries against all vectors; where vectors
 have no structure (uniform directions in many dimensions) it grows until most lists are searched.
 Inner products become distances by one more component (the missing norm), so norms may differ.
+Lists that lie near one another stand on one shelf, which a task reads at once, so that a query passes
+on its best of a shelf and not of every list; what a query reads is always at least what it selected.
 Equal vectors are indexed once with their k + 1 smallest ids, which is all that a result can hold;
-lists and their queries are cut into blocks, so that no task holds a whole large list. A query that
+shelves and their queries are cut into blocks, so that no task holds a whole large one. A query that
 finds fewer than k is compared with all vectors, in blocks.
 
 Defined cases: vectors that are null, zero, or hold null or non-finite components take no part; a vector
@@ -35,8 +37,8 @@ SAMPLE, LIST, FANOUT, LEVELS = 32_768, 500, 64, 3
 REPLICA_RATIO, RECALL, PROBES = 1.02, 0.98, 128
 #: Links of a centroid in the graph; candidates that a search holds at first (doubled where all of them are within the ratio).
 LINKS, BEAM = 24, 32
-#: Vectors and queries of one list that one task compares.
-BLOCK, QUERY_BLOCK = 4096, 1024
+#: Lists of a shelf; bytes of vectors and number of queries that one task compares, and queries at a time.
+SHELF, BLOCK_BYTES, QUERY_BLOCK, AT_ONCE = 16, 1 << 24, 1024, 128
 _STEP = 8192
 
 
@@ -119,6 +121,21 @@ def balanced_centroids(x: np.ndarray, k: int, seed: int = 3, rounds: int = 8) ->
     return centre
 
 
+def shelves_of(points: np.ndarray, size: int) -> np.ndarray:
+    """A number for each centroid: halves across the widest axis until no more than `size` are together."""
+    out, todo, n = np.zeros(len(points), int), [np.arange(len(points))], 0
+    while todo:
+        at = todo.pop()
+        if len(at) <= size:
+            out[at], n = n, n + 1
+            continue
+        centred = points[at] - points[at].mean(0)
+        axis = np.linalg.eigh(centred.T @ centred)[1][:, -1]
+        order = at[np.argsort(centred @ axis, kind="stable")]
+        todo += [order[: len(at) // 2], order[len(at) // 2 :]]
+    return out
+
+
 def distances(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum((x**2).sum(1)[:, None] + (centre**2).sum(1) - 2 * x @ centre.T, 0))
 
@@ -175,24 +192,32 @@ def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, most: int) -> tuple[np.
 
 def _compare(space: Space, most: int):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """Vectors and queries of one pair of blocks: the best of each query."""
+        """Vectors and queries of one pair of blocks: the best of each query. What stands on several lists of a shelf counts once."""
         if not len(a) or not len(b):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        row, ids, score = _best(space.rows(a["v"]), a["vid"].to_numpy(), space.rows(b["v"]), most)
-        return pd.DataFrame({"query": b["vid"].to_numpy()[row], "vid": ids, "score": score})
+        a, b = a.drop_duplicates("vid"), b.drop_duplicates("vid")
+        x, ids, asked, out = space.rows(a["v"]), a["vid"].to_numpy(), b["vid"].to_numpy(), []
+        for at in range(0, len(b), AT_ONCE):
+            row, near, score = _best(x, ids, space.rows(b["v"].iloc[at : at + AT_ONCE]), most)
+            out.append(pd.DataFrame({"query": asked[at + row], "vid": near, "score": score}))
+        return pd.concat(out)
 
     return run
 
 
+def _blocks(space: Space) -> int:
+    return max(1024, BLOCK_BYTES // (8 * space.dim))
+
+
 def _paired(left: DataFrame, right: DataFrame, space: Space, most: int) -> DataFrame:
-    """Best (query, vid, score) of every block of vectors (list, vid, v) and block of queries of the same list."""
-    sizes = left.groupBy("list").agg(F.ceil(F.count("*") / BLOCK).alias("pn")).join(right.groupBy("list").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("qn")), "list")
-    deal = lambda df, own, other, a, b: df.join(sizes, "list").withColumn(a, F.pmod(F.xxhash64("vid"), F.col(own))).withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("list", "pb", "qb", "vid", "v")
+    """Best (query, vid, score) of every block of vectors (shelf, vid, v) and block of queries of the same shelf."""
+    sizes = left.groupBy("shelf").agg(F.ceil(F.count("*") / _blocks(space)).alias("pn")).join(right.groupBy("shelf").agg(F.ceil(F.count("*") / QUERY_BLOCK).alias("qn")), "shelf")
+    deal = lambda df, own, other, a, b: df.join(sizes, "shelf").withColumn(a, F.pmod(F.xxhash64("vid"), F.col(own))).withColumn(b, F.explode(F.sequence(F.lit(0).cast("long"), F.col(other) - 1))).select("shelf", "pb", "qb", "vid", "v")
     a, b = deal(left, "pn", "qn", "pb", "qb"), deal(right, "qn", "pn", "qb", "pb")
-    return a.groupBy("list", "pb", "qb").cogroup(b.groupBy("list", "pb", "qb")).applyInPandas(_compare(space, most), "query long, vid long, score double")
+    return a.groupBy("shelf", "pb", "qb").cogroup(b.groupBy("shelf", "pb", "qb")).applyInPandas(_compare(space, most), "query long, vid long, score double")
 
 
-def _split(post: DataFrame, space: Space, element: str) -> tuple[DataFrame, DataFrame] | None:
+def _split(post: DataFrame, space: Space) -> tuple[DataFrame, DataFrame] | None:
     """Lists of more than 4 LIST vectors by centroids of their own: (children (list, child, centre), posts of the children); None if there is none."""
     sizes = post.groupBy("list").agg(F.count("*").alias("n")).where(F.col("n") > 4 * LIST)
     if sizes.isEmpty():
@@ -208,9 +233,9 @@ def _split(post: DataFrame, space: Space, element: str) -> tuple[DataFrame, Data
     return drawn.groupBy("list").applyInPandas(fit, "list long, child long, centre array<double>"), sizes
 
 
-def _to_children(rows: DataFrame, children: DataFrame, sizes: DataFrame, lifted, ratio: float, element: str) -> DataFrame:
+def _to_children(rows: DataFrame, children: DataFrame, sizes: DataFrame, space: Space, lifted, ratio: float, element: str) -> DataFrame:
     """rows (list, vid, v) of split lists to their children within the ratio: list, vid, v, d; rows of a list in blocks."""
-    parts = F.ceil(F.col("n") / BLOCK)
+    parts = F.ceil(F.col("n") / _blocks(space))
     dealt = rows.join(sizes, "list").withColumn("pb", F.pmod(F.xxhash64("vid"), parts)).drop("n")
     kids = children.join(sizes, "list").withColumn("pb", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("n")
 
@@ -286,11 +311,11 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     post = scratch.keep(known.select("vid", "v").mapInPandas(to_lists(REPLICA_RATIO, space.lift), schema).drop("d"), "lists0")
     levels, tiers = [(post, top, None)], post
     for level in range(1, LEVELS + 1):
-        made = _split(tiers, space, element)
+        made = _split(tiers, space)
         if made is None:
             break
         children, sizes = scratch.keep(made[0], f"children{level}"), scratch.keep(made[1], f"sizes{level}")
-        below = _to_children(tiers.join(sizes.select("list"), "list", "left_semi"), children, sizes, space.lift, REPLICA_RATIO, element).drop("d")
+        below = _to_children(tiers.join(sizes.select("list"), "list", "left_semi"), children, sizes, space, space.lift, REPLICA_RATIO, element).drop("d")
         tiers = scratch.keep(tiers.join(sizes.select("list"), "list", "left_anti").unionByName(below), f"lists{level}")
         levels.append((tiers, None, (children, sizes)))
 
@@ -318,17 +343,20 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
     wanted = queries.mapInPandas(to_lists(ratios[0], space.lift_query), schema)
     for level, (_, _, (children, sizes)) in enumerate(levels[1:], 1):
         wanted = scratch.keep(wanted, f"wanted{level}")
-        below = _to_children(wanted.join(sizes.select("list"), "list", "left_semi").drop("d"), children, sizes, space.lift_query, math.inf, element)
+        below = _to_children(wanted.join(sizes.select("list"), "list", "left_semi").drop("d"), children, sizes, space, space.lift_query, math.inf, element)
         both = wanted.join(sizes.select("list"), "list", "left_anti").unionByName(below)
         wanted = both.withColumn("least", F.min("d").over(Window.partitionBy("vid"))).where(F.col("d") <= F.col("least") * ratios[level] + 1e-9).drop("least")
-    wanted = scratch.keep(wanted.drop("d"), "wanted")
-    found = scratch.keep(_paired(tiers, wanted, space, most).groupBy("query", "vid").agg(F.max("score").alias("score")), "found")
+    places = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(shelves_of(top, SHELF))], "list long, place long"))  # at most SAMPLE / 8 rows
+    # Children of one list have numbers in a row: SHELF of them share a shelf.
+    shelved = lambda df: df.join(places, "list", "left").select(F.coalesce("place", F.floor(F.col("list") / SHELF) + (1 << 20)).alias("shelf"), "vid", "v")
+    wanted = scratch.keep(shelved(wanted), "wanted")
+    found = scratch.keep(_paired(shelved(tiers), wanted, space, most).groupBy("query", "vid").agg(F.max("score").alias("score")), "found")
     # Queries that met fewer vectors than a result holds are compared with all of them.
     enough = min(most, count)
     full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
-    short = queries.join(full.select(F.col("query").alias("vid")), "vid", "left_anti").withColumn("list", F.lit(-1).cast("long"))
+    short = queries.join(full.select(F.col("query").alias("vid")), "vid", "left_anti").withColumn("shelf", F.lit(-1).cast("long"))
     if not short.isEmpty():
-        again = _paired(known.select(F.lit(-1).cast("long").alias("list"), "vid", "v"), scratch.keep(short, "short"), space, most)
+        again = _paired(known.select(F.lit(-1).cast("long").alias("shelf"), "vid", "v"), scratch.keep(short, "short"), space, most)
         found = found.unionByName(again).groupBy("query", "vid").agg(F.max("score").alias("score"))
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vid")
     found = found.withColumn("o", F.row_number().over(best)).where(F.col("o") <= most).join(known.select("vid", "ids"), "vid").select("query", "score", F.explode("ids").alias("cand"))
