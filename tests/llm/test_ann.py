@@ -50,7 +50,8 @@ def test_lists_that_are_split_twice(spark, monkeypatch):
     monkeypatch.setattr(ann, "SAMPLE", 256)
     monkeypatch.setattr(ann, "LIST", 20)
     monkeypatch.setattr(ann, "FANOUT", 4)
-    monkeypatch.setattr(ann, "BLOCK", 64)
+    monkeypatch.setattr(ann, "_blocks", lambda space: 64)
+    monkeypatch.setattr(ann, "SHELF", 4)
     rng = np.random.default_rng(2)
     centre = rng.normal(size=(30, 8)) * 2
     rows = [(i, (centre[i % 30] + rng.normal(size=8)).tolist()) for i in range(4000)]
