@@ -1 +1,13 @@
 """Spark-first analytics over messy tables and agent trajectories."""
+
+from __future__ import annotations
+
+import shutil
+import tempfile
+from pathlib import Path
+
+
+def ship(spark) -> None:
+    """Sends this package to the workers of a session, for a driver that runs from elsewhere; functions in Python name it there."""
+    at = Path(__file__).resolve().parent
+    spark.sparkContext.addPyFile(shutil.make_archive(str(Path(tempfile.mkdtemp()) / at.name), "zip", at.parent, at.name))

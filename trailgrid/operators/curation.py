@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import any_of, same_answer, strip
+from ..functions.checks import call_signature
 from ..functions.code import presentation, presented_answers
 
 #: Marks of an infrastructure error in a result; clauses of a plan that speak of one; openings that only follow one.
@@ -251,3 +252,64 @@ def revalidate(records: DataFrame, code_tool: str = "python_code_executor") -> D
     again = used.where("coalesce(id, '') != ''").withColumn("n", F.row_number().over(Window.partitionBy("dialog", "issue", "id").orderBy("sq", "step"))).where("n > 1")
     shown = calls.where(F.col("c.name") == code_tool).where(presentation(F.get_json_object("c.arguments", "$.code"))["only_presents"])
     return issues.unionAll(again.select("dialog", "sq", "issue")).unionAll(shown.select("dialog", "sq", F.lit("presentation call")))
+
+
+def conflicting_calls(steps: Column) -> Column:
+    """Ids that stand on calls of different name or arguments, or on different observations, sorted."""
+    calls = F.flatten(F.transform(steps, lambda s: F.coalesce(s["calls"], F.array().cast("array<struct<id:string,name:string,arguments:string>>"))))
+    seen = F.flatten(F.transform(steps, lambda s: F.coalesce(F.transform(s["observations"], lambda o: F.struct(o["id"].alias("id"), o["content"].alias("content"))), F.array().cast("array<struct<id:string,content:string>>"))))
+    ids = F.array_distinct(F.filter(F.concat(F.transform(calls, lambda c: c["id"]), F.transform(seen, lambda o: o["id"])), lambda i: F.coalesce(i, F.lit("")) != ""))
+    kinds = lambda a, i, body: F.size(F.array_distinct(F.transform(F.filter(a, lambda x: x["id"] == i), body)))
+    differs = lambda i: (kinds(calls, i, lambda c: call_signature(c["name"], c["arguments"])) > 1) | (kinds(seen, i, lambda o: F.coalesce(o["content"], F.lit(""))) > 1)
+    return F.array_sort(F.filter(ids, differs))
+
+
+def unique_calls(steps: Column) -> Column:
+    """Steps without calls whose id an earlier call has, nor their observations; a step that loses all its calls goes. Blank ids all stay."""
+    ids = lambda s: F.transform(F.coalesce(s["calls"], F.array().cast("array<struct<id:string,name:string,arguments:string>>")), lambda c: F.coalesce(c["id"], F.lit("")))
+
+    def kept(s: Column, i: Column) -> Column:
+        before = F.flatten(F.transform(F.slice(steps, F.lit(1), i), ids))
+        fresh = lambda x, n: (F.coalesce(x["id"], F.lit("")) == "") | (~F.array_contains(before, x["id"]) & (F.array_position(ids(s), x["id"]) == n + 1))
+        calls = F.filter(s["calls"], fresh)
+        # An observation goes with its call; the first of an id stays with the first call.
+        observed = F.filter(s["observations"], lambda o: (F.coalesce(o["id"], F.lit("")) == "") | ~F.array_contains(before, o["id"]))
+        return s.withField("calls", calls).withField("observations", observed)
+
+    had = F.transform(steps, lambda s: F.coalesce(F.size(s["calls"]), F.lit(0)) > 0)
+    made = F.zip_with(F.transform(steps, kept), had, lambda s, h: F.struct(s.alias("s"), h.alias("h")))
+    return F.transform(F.filter(made, lambda x: ~x["h"] | (F.size(x["s"]["calls"]) > 0)), lambda x: x["s"])
+
+
+def renumbered(records: DataFrame) -> DataFrame:
+    """records (dialog, sq, steps) with call ids call_<dialog>_<sq>_<number>, numbers running through a dialog from 0 with three digits or more; observations follow their calls."""
+    size = lambda s: F.coalesce(F.size(s["calls"]), F.lit(0))
+    total = F.aggregate("steps", F.lit(0), lambda n, s: n + size(s))
+    counted = records.withColumn("_n", F.coalesce(total, F.lit(0)))
+    base = F.sum("_n").over(Window.partitionBy("dialog").orderBy("sq")) - F.col("_n")
+    name = lambda n: F.concat(F.lit("call_"), F.col("dialog").cast("string"), F.lit("_"), F.col("sq").cast("string"), F.lit("_"), F.format_string("%03d", n.cast("long")))
+
+    def step(s: Column, i: Column) -> Column:
+        start = F.col("_base") + F.aggregate(F.slice("steps", F.lit(1), i), F.lit(0), lambda n, x: n + size(x))
+        old = F.transform(s["calls"], lambda c: F.coalesce(c["id"], F.lit("")))
+        calls = F.transform(s["calls"], lambda c, k: c.withField("id", name(start + k)))
+        seen = F.transform(s["observations"], lambda o: o.withField("id", F.when((F.coalesce(o["id"], F.lit("")) != "") & (F.array_position(old, o["id"]) > 0), name(start + F.array_position(old, o["id"]) - 1)).otherwise(o["id"])))
+        return s.withField("calls", calls).withField("observations", seen)
+
+    return counted.withColumn("_base", base).withColumn("steps", F.transform("steps", step)).drop("_n", "_base")
+
+
+def cleaned(records: DataFrame, code_tool: str = "python_code_executor") -> DataFrame:
+    """records (dialog, sq, steps, final) through all stages: conflicting ids told, repeated, failed and presentation calls removed, orphans dropped, calls numbered anew.
+
+    Whoever wants the last stage calls `revalidate` on the result.
+    """
+    made = records.withColumn("conflicts", conflicting_calls(F.col("steps"))).withColumn("steps", unique_calls(F.col("steps")))
+    made = without_presentations(made.withColumn("steps", without_failed_calls(F.col("steps"))), code_tool)
+    return renumbered(made.withColumn("steps", without_orphans(F.col("steps"))))
+
+
+def points_covered(best: DataFrame, least: float = 0.6) -> DataFrame:
+    """(sq, points, covered, coverage) of points with their best claims (sq, confidence): a judge's stand-in that needs no model."""
+    hit = F.count_if(F.col("confidence") >= least)
+    return best.groupBy("sq").agg(F.count("*").alias("points"), hit.alias("covered"), (hit / F.count("*")).alias("coverage"))

@@ -73,20 +73,20 @@ def future_needs(s, d):
     return dependencies.future_dependencies(turns).drop("ref_kind")
 
 
-@query("training_segments", """with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as t, count(*) over (partition by user_id) as n, max(value) over (partition by user_id) as ans from events where user_id % 2 = 0 or value > 10),
- s as (select user_id, user_id || '_tool_' || t as segment, 'tool' as kind, t::int as step, sum(value * pow(0.5, t)) over (partition by user_id order by t rows between current row and unbounded following) / pow(0.5, t) + ans * pow(0.5, n - t) as value from e where n <= 40 or t >= n - 40)
- select user_id as rollout, segment, kind, step, round(value, 4) as value from s where step >= 0 and kind = 'tool' and user_id in (select user_id from e where n <= 40) union all select distinct user_id, user_id || '_answer', 'answer', -1, round(ans, 4) from e where n <= 40""")
+@query("training_segments", """with e as (select user_id, value, row_number() over (partition by user_id order by ts, event_id) - 1 as t, count(*) over (partition by user_id) as n, max(value) over (partition by user_id) as ans from events)
+ select user_id as rollout, user_id || '_tool_' || t as segment, 'tool' as kind, t::int as step, round(sum(value * pow(0.5, t)) over (partition by user_id order by t rows between current row and unbounded following) / pow(0.5, t) + ans * pow(0.5, n - t) + 1e-9, 4) as value from e
+ union all select user_id, user_id || '_answer', 'answer', -1, round(max(value) + 1e-9, 4) from events group by 1""")
 def training_segments(s, d):
-    """Every event of every user, one tool step each; the SQL holds only users of at most 40 events after a filter."""
+    """Every event of every user, one tool step each. The SQL's powers of a half reach a thousand events of a user; the query has no such limit. Values that end in 5 at the fifth place are rounded up on both sides."""
     runs = read(s, d, "events").groupBy(F.col("user_id").alias("rollout")).agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("x"), F.max("value").alias("answer_reward"))
     runs = runs.select("rollout", F.transform("x", lambda r: r["value"].cast("double")).alias("rewards"), F.lit("a").alias("answer"), F.col("answer_reward").cast("double").alias("answer_reward"), F.lit(None).cast("double").alias("memory_reward"))
-    return segments.segments(runs, gamma=0.5).withColumn("value", F.round("value", 4))
+    return segments.segments(runs, gamma=0.5).withColumn("value", F.round(F.col("value") + 1e-9, 4))
 
 
 @query("token_advantages", """with w as (select conv_id, turn, role, unnest(regexp_extract_all(text, '[^ \\n]+')) as w, generate_subscripts(regexp_extract_all(text, '[^ \\n]+'), 1) as word_no from conversations), n as (select *, row_number() over (partition by conv_id order by turn, word_no) as nth from w)
- select conv_id, count(*) as tokens, sum(length(w)) as id_sum, sum(case when role = 'assistant' then turn else 0 end)::double as advantage_sum, count(*) filter (where role = 'assistant')::double as trained from n where nth <= 200 group by conv_id""")
+ select conv_id, count(*) as tokens, sum(length(w)) as id_sum, sum(case when role = 'assistant' then turn else 0 end)::double as advantage_sum, count(*) filter (where role = 'assistant')::double as trained from n where nth <= 4096 group by conv_id""")
 def token_advantages(s, d):
-    """Word lengths stand for token ids; a conversation is cut at the reference's 4096, the SQL at 200."""
+    """Word lengths stand for token ids; a conversation is cut at 4096 of them, as the reference does."""
     c = read(s, d, "conversations").select(F.col("conv_id").alias("rollout"), F.col("turn").alias("pos"), (F.col("role") == "assistant").alias("trainable"), "text", F.when(F.col("role") == "assistant", F.col("turn")).otherwise(0).cast("double").alias("advantage"))
     made = segments.token_arrays(c, F.transform(F.regexp_extract_all("text", F.lit(r"[^ \n]+"), F.lit(0)), F.char_length))
     total = lambda c, zero: F.aggregate(c, F.lit(zero), lambda a, x: a + x)
@@ -192,3 +192,21 @@ def revalidated(s, d):
     steps = F.transform("x", step)
     records = read(s, d, "orders").join(l, F.col("o_orderkey") == F.col("l_orderkey")).select(F.col("o_custkey").alias("dialog"), F.col("o_orderkey").alias("sq"), F.when(F.col("o_orderkey") % 3 == 0, steps).otherwise(F.concat(steps, F.array(last))).alias("steps"), F.lit("a").alias("answer"), F.lit("a").alias("old_answer"))
     return curation.revalidate(records).groupBy("dialog", "sq", "issue").agg(F.count("*").alias("n"))
+
+
+@query("cleaned_dialogs", """with c as (select *, row_number() over (partition by user_id, event_type, props order by ts, event_id) as rn, count(distinct event_type || '|' || value) over (partition by user_id, event_type, props) as kinds from (select *, dense_rank() over (partition by user_id order by event_type) as sq from events where event_type <> 'error')),
+ k as (select user_id, sq, ts, event_id, props from c where rn = 1 and value >= 20), n as (select user_id, sq, event_id, 'call_' || user_id || '_' || sq || '_' || printf('%03d', row_number() over (partition by user_id order by sq, ts, event_id) - 1) as call_id from k)
+ select n.user_id as dialog, n.sq, count(*) as steps, min(call_id) as first, max(call_id) as last from n group by 1, 2""")
+def cleaned_dialogs(s, d):
+    """Types of a user's events are sub-questions; each event is a step whose call has its properties for an id; calls below 20 fail."""
+    sq = F.dense_rank().over(W.partitionBy("user_id").orderBy("event_type"))
+    failed = F.col("value") < 20
+    step = F.struct(
+        "ts", "event_id", F.lit("tool_call").alias("type"), F.lit("p").alias("plan"), F.array(F.struct(F.col("props").alias("id"), F.lit("t").alias("name"), F.lit("{}").alias("arguments"))).alias("calls"),
+        F.array(F.struct(F.col("props").alias("id"), F.when(failed, "unsupported ScalarType BFloat16").otherwise("fine").alias("content"))).alias("observations"),
+    )
+    records = read(s, d, "events").where("event_type <> 'error'").withColumn("sq", sq).groupBy(F.col("user_id").alias("dialog"), "sq").agg(F.array_sort(F.collect_list(step)).alias("steps"))
+    records = records.withColumn("final", F.lit(None).cast("struct<answer:string,data_source:array<string>>"))
+    ids = F.transform("steps", lambda x: x["calls"][0]["id"])
+    made = curation.cleaned(records).where(F.size("steps") > 0)
+    return made.select("dialog", F.col("sq").cast("long").alias("sq"), F.size("steps").cast("long").alias("steps"), F.array_min(ids).alias("first"), F.array_max(ids).alias("last"))

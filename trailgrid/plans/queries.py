@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import checks
 from ..functions import text as tx
-from ..operators import rewards
-from ..sources.tables import lines, read
+from ..operators import reports, rewards
+from ..sources.tables import lines, read, spread
 from .registry import query
 
 PATTERN = r"license|\btoken\b"
@@ -15,7 +16,9 @@ _LINES = "(select doc_id, source, unnest(string_split(text, chr(10))) as content
 
 
 def _hits(spark, d):
-    return lines(read(spark, d, "documents"), "doc_id", "text", "source").where(F.col("content").rlike("(?i)" + PATTERN))
+    # A text without a match has no line with one: most are dropped before they are cut into lines.
+    docs = spread(read(spark, d, "documents").select("doc_id", "text", "source")).where(F.col("text").rlike("(?i)" + PATTERN))
+    return lines(docs, "doc_id", "text", "source").where(F.col("content").rlike("(?i)" + PATTERN))
 
 
 @query("grep_lines", f"select doc_id, line_no::bigint as line_no, content from {_LINES} where regexp_matches(content, '{PATTERN}', 'i')")
@@ -72,8 +75,8 @@ _TOK = "(select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9_]{2,}'))
 
 @query("tfidf_top_terms", f"select term, count(*) as tf, count(distinct doc_id) as df, round(ln((1 + (select count(*) from documents)) / (1.0 + count(distinct doc_id))) + 1, 6) as idf from {_TOK} group by term order by tf desc, term limit 512")
 def tfidf_top_terms(s, d):
-    docs = read(s, d, "documents")
-    n = docs.agg(F.count("*").alias("n"))
+    docs = spread(read(s, d, "documents").select("text"))
+    n = read(s, d, "documents").agg(F.count("*").alias("n"))
     # Each text gives its terms (k = 1) and its distinct terms (k = 0): one shuffle of counts by term, none by document.
     terms = docs.select(F.regexp_extract_all(F.lower("text"), F.lit("([a-z0-9_]{2,})"), 1).alias("t"))
     both = terms.select(F.inline(F.array(F.struct(F.lit(1).alias("k"), F.col("t")), F.struct(F.lit(0).alias("k"), F.array_distinct("t").alias("t")))))
@@ -131,9 +134,7 @@ def pass_at_1(s, d):
 
 @query("return_to_go", "with e as (select *, row_number() over (partition by user_id order by ts, event_id) as rn from events) select event_id, round(sum(value * pow(0.9371, rn)) over (partition by user_id order by rn rows between current row and unbounded following) / pow(0.9371, rn), 4) as g from e")
 def return_to_go(s, d):
-    e = read(s, d, "events").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "value"))).alias("xs"))
-    g = e.withColumn("g", rewards.return_to_go(F.transform("xs", lambda x: x["value"]), F.lit(0.0), gamma=0.9371))
-    return g.select(F.explode(F.arrays_zip(F.col("xs.event_id").alias("event_id"), "g")).alias("z")).select("z.event_id", F.round("z.g", 4).alias("g"))
+    return rewards.returns(read(s, d, "events").select("event_id", "user_id", "ts", "value"), "user_id", ["ts", "event_id"], "value", gamma=0.9371).select("event_id", F.round("g", 4).alias("g"))
 
 
 @query("group_zscore", "select event_id, round(case when count(*) over w <= 1 or stddev_pop(value) over w < 1e-8 then 0 else (value - avg(value) over w) / (stddev_pop(value) over w + 1e-8) end, 4) as z from events window w as (partition by event_type)")
@@ -144,20 +145,29 @@ def group_zscore(s, d):
     return e.join(stats, "event_type").select("event_id", F.round(z, 4).alias("z"))
 
 
-@query("repeat_calls", "select event_id, row_number() over (partition by user_id, event_type, props order by ts, event_id) > 1 as repeated from events")
+_SIGNATURE = "event_type || '::{\"k\":\"' || json_extract_string(props, '$.k') || '\"}'"
+
+
+@query("repeat_calls", f"select event_id, row_number() over (partition by user_id, {_SIGNATURE} order by ts, event_id) > 1 and value < 50 as repeated from events")
 def repeat_calls(s, d):
-    return read(s, d, "events").select("event_id", (F.row_number().over(W.partitionBy("user_id", "event_type", "props").orderBy("ts", "event_id")) > 1).alias("repeated"))
+    """Calls whose signature came before, without new evidence (values below 50)."""
+    e = read(s, d, "events").withColumn("signature", checks.call_signature(F.col("event_type"), F.col("props")))
+    again = F.row_number().over(W.partitionBy("user_id", "signature").orderBy("ts", "event_id")) > 1
+    return e.select("event_id", (again & (F.col("value") < 50)).alias("repeated"))
 
 
-@query("call_conflicts", "select user_id, event_type, count(distinct props) as variants from events group by user_id, event_type having count(distinct props) > 1")
+@query("call_conflicts", f"select user_id, event_type, count(distinct {_SIGNATURE} || value::bigint % 2) as variants from events group by user_id, event_type having count(distinct {_SIGNATURE} || value::bigint % 2) > 1")
 def call_conflicts(s, d):
-    return read(s, d, "events").groupBy("user_id", "event_type").agg(F.count_distinct("props").alias("variants")).where("variants > 1")
+    """Types stand for call ids; an id conflicts with another signature or another observation (odd and even values)."""
+    e = read(s, d, "events").withColumn("seen", F.struct(checks.call_signature(F.col("event_type"), F.col("props")), (F.round("value").cast("long") % 2)))
+    return e.groupBy("user_id", "event_type").agg(F.count_distinct("seen").alias("variants")).where("variants > 1")
 
 
-@query("reindex_ids", "select event_id, 'call_' || user_id || '_' || lpad((row_number() over (partition by user_id order by ts, event_id) - 1)::varchar, 3, '0') as call_id from events")
+@query("reindex_ids", "select event_id, 'call_' || user_id || '_' || printf('%03d', row_number() over (partition by user_id order by ts, event_id) - 1) as call_id from events")
 def reindex_ids(s, d):
+    """Numbers of three digits, or of more where a dialog has a thousand calls: none is cut."""
     n = F.row_number().over(W.partitionBy("user_id").orderBy("ts", "event_id")) - 1
-    return read(s, d, "events").select("event_id", F.concat(F.lit("call_"), F.col("user_id").cast("string"), F.lit("_"), F.lpad(n.cast("string"), 3, "0")).alias("call_id"))
+    return read(s, d, "events").select("event_id", F.concat(F.lit("call_"), F.col("user_id").cast("string"), F.lit("_"), F.format_string("%03d", n)).alias("call_id"))
 
 
 @query("error_recovery", "select e.event_id, exists (select 1 from events l where l.user_id = e.user_id and l.event_type = 'purchase' and l.ts > e.ts) as recovered from events e where e.event_type = 'error'")
@@ -204,10 +214,9 @@ def num_extract(s, d):
 
 @query("num_stats", "select event_type, min(value) as lo, max(value) as hi, round(avg(value), 6) as mean, list_sort(list(value))[len(list(value)) // 2 + 1] as upper_median from events group by event_type")
 def num_stats(s, d):
-    """The upper median by rank: rows are numbered within few buckets of a type's values, not in one task."""
-    e = read(s, d, "events")
-    stats = e.groupBy("event_type").agg(F.min("value").alias("lo"), F.max("value").alias("hi"), F.round(F.avg("value"), 6).alias("mean"), F.expr("percentile_disc(0.5) within group (order by value)").alias("m0"), F.count("*").alias("n"), F.expr("percentile(value, 0.5)").alias("m1"))
-    return stats.select("event_type", "lo", "hi", "mean", F.when(F.col("n") % 2 == 1, F.col("m0")).otherwise(2 * F.col("m1") - F.col("m0")).alias("upper_median"))
+    """The upper median is an element of the values: those of the one range that holds it are put in order, no others."""
+    made = reports.middle(read(s, d, "events"), "value", "event_type")
+    return made.select("event_type", "lo", "hi", F.round("mean", 6).alias("mean"), F.col("middle").alias("upper_median"))
 
 
 @query("join_inner", "select n.n_name, count(*) as customers, round(sum(c.c_acctbal), 2) as balance from customer c join nation n on c.c_nationkey = n.n_nationkey group by n.n_name")
@@ -220,9 +229,9 @@ def join_semi(s, d):
     return read(s, d, "customer").join(read(s, d, "orders").where("o_totalprice > 200000"), F.col("c_custkey") == F.col("o_custkey"), "left_semi").select("c_custkey")
 
 
-@query("join_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey)")
+@query("join_anti", "select c_custkey from customer where not exists (select 1 from orders where o_custkey = c_custkey and o_totalprice > 400000)")
 def join_anti(s, d):
-    return read(s, d, "customer").join(read(s, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    return read(s, d, "customer").join(read(s, d, "orders").where("o_totalprice > 400000"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("join_full", "select coalesce(l.k, r.k) as k, l.a, r.b from (select c_nationkey as k, count(*) as a from customer where c_acctbal > 9000 group by 1) l full join (select s_nationkey as k, count(*) as b from supplier group by 1) r on l.k = r.k")

@@ -40,3 +40,15 @@ def markdown(title: str, row: Row) -> str:
     """A report of one row of figures."""
     cells = [(k, f"{v:.4f}" if isinstance(v, float) else str(v)) for k, v in row.asDict().items()]
     return "\n".join([f"# {title}", "", "| Metric | Value |", "| --- | --- |", *[f"| {k} | {v} |" for k, v in cells], ""])
+
+
+def report(title: str, *sections: tuple[str, DataFrame], most: int = 1000) -> str:
+    """A report of a few small frames: a heading and a grid for each; a frame of more than `most` rows is refused."""
+    out = [f"# {title}", ""]
+    for heading, df in sections:
+        rows = df.limit(most + 1).collect()
+        if len(rows) > most:
+            raise ValueError(f"{heading}: more than {most} rows")
+        show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v).replace("|", "\\|").replace("\n", " ")
+        out += [f"## {heading}", "", f"| {' | '.join(df.columns)} |", f"|{' --- |' * len(df.columns)}", *[f"| {' | '.join(map(show, r))} |" for r in rows], ""]
+    return "\n".join(out)

@@ -11,27 +11,36 @@ from pyspark.sql import functions as F
 
 #: Encodings in the order tried; the last takes any bytes.
 ENCODINGS = ("utf-8-sig", "gbk", "gb2312", "gb18030", "utf-16", "latin-1")
+#: Encodings of a preview in the order tried; none takes any bytes.
+PREVIEWED = ("utf-8-sig", "utf-8", "gbk", "gb2312")
 #: A trace as agents write it.
 TRACE = "task string, response string, conversation_trace array<struct<messages: array<struct<role: string, content: string, tool_call_id: string, tool_calls: array<struct<id: string, function: struct<name: string, arguments: string>>>>>>>"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir; where that is unset, one of our own if executors are threads of the driver."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         at = f"file://{tempfile.mkdtemp(prefix='trailgrid-')}"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
-def decoded(raw: bytes) -> tuple[str, str]:
+def decoded(raw: bytes, encodings: tuple[str, ...] = ENCODINGS) -> tuple[str, str]:
     """A file's text and encoding; a mark of byte order is dropped."""
-    for name in ENCODINGS:
+    for name in encodings:
         try:
             return raw.decode(name), name
         except UnicodeDecodeError:
             continue
-    raise AssertionError("latin-1 takes any bytes")
+    raise ValueError(f"none of {encodings} reads this")
+
+
+def preview_lines(raw: bytes, most: int = 100) -> list[str]:
+    """The first lines of a small file for a model, trailing white space dropped; of fewer encodings than a full read tries."""
+    return [line.rstrip() for line in decoded(raw, PREVIEWED)[0].split("\n")[:most]]
 
 
 def text_lines(spark: SparkSession, folder: str, glob: str = "*.{csv,tsv,txt}") -> DataFrame:
@@ -41,7 +50,8 @@ def text_lines(spark: SparkSession, folder: str, glob: str = "*.{csv,tsv,txt}")
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
                 text, encoding = decoded(bytes(raw))
-                rows = text.splitlines()
+                # Lines end as in the line view of text columns: at line feeds, not at form feeds or other separators.
+                rows = [x.removesuffix("\r") for x in text.removesuffix("\n").split("\n")] if text else []
                 yield pd.DataFrame({"path": path, "encoding": encoding, "line_no": range(1, len(rows) + 1), "content": rows})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(folder)
