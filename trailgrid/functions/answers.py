@@ -180,3 +180,43 @@ def first_time(text: Column) -> Column:
 def group_key(rollout: Column) -> Column:
     """A rollout's id without its last rollout suffix."""
     return F.regexp_replace(rollout, r"_k\d+$", "")
+
+
+def answer_object(text: Column) -> Column:
+    """struct<object, issue>: an answer's JSON object, and what is wrong with how it was given; the object is null where there is none.
+
+    JSON in a fenced block is taken with a warning; JSON that is no object is wrapped, with a warning.
+    """
+    body = strip(F.coalesce(text, F.lit("")))
+    blocks = F.filter(F.transform(F.regexp_extract_all(body, F.lit(r"(?s)```(?:json)?\s*\n?(.*?)\n?```"), F.lit(1)), lambda b: _json(strip(b))), lambda j: j.isNotNull())
+    direct, fenced = _json(body), F.get(blocks, F.lit(0))
+    found = F.coalesce(direct, fenced)
+    is_object = F.startswith(found, F.lit("{"))
+    issue = (
+        F.when(body == "", "empty").when(found.isNull(), "no JSON").when(found == "{}", "empty object").when(~is_object, "no object").when(direct.isNull(), "in a code block")
+    )
+    return F.struct(F.when(is_object & (found != "{}"), found).when(found.isNotNull() & ~is_object, F.concat(F.lit('{"_raw":'), found, F.lit("}"))).alias("object"), issue.alias("issue"))
+
+
+def claims_of(answer: Column) -> Column:
+    """array<struct<text, file>> of an answer's object (JSON text): its score points; else its answer, result, conclusion and claims; else itself."""
+    text = lambda x, *names: F.coalesce(*[F.nullif(F.get_json_object(x, f"$.{n}"), F.lit("")) for n in names])
+    listed = lambda n: F.coalesce(F.from_json(F.get_json_object(answer, f"$.{n}"), "array<string>"), F.array().cast("array<string>"))
+    claim = lambda t, f: F.struct(t.alias("text"), F.coalesce(f, F.lit("")).alias("file"))
+    is_object = lambda x: F.startswith(strip(x), F.lit("{")) & F.try_parse_json(x).isNotNull()
+    points = F.transform(listed("score_points"), lambda x: F.when(is_object(x), claim(F.coalesce(text(x, "scorepoint", "text", "content"), F.lit("")), text(x, "table", "data_source"))).otherwise(claim(x, F.lit(""))))
+
+    def of(name: str) -> Column:
+        held = F.get_json_object(answer, f"$.{name}")
+        many = F.transform(listed(name), lambda x: F.when(is_object(x), claim(F.coalesce(text(x, "text", "value"), x), text(x, "table", "data_source"))).otherwise(claim(x, F.lit(""))))
+        return F.when(held.isNull(), many).when(F.startswith(held, F.lit("[")), many).when(F.startswith(held, F.lit("{")), F.slice(many, 1, 0)).otherwise(F.array(claim(held, F.lit(""))))
+
+    flat = F.concat(*[of(n) for n in ("answer", "result", "conclusion", "claims")])
+    return F.when(F.size(points) > 0, points).when(F.size(flat) > 0, flat).otherwise(F.array(claim(answer, F.lit(""))))
+
+
+def invalid_call(name: Column, arguments: Column, *registered: str) -> Column:
+    """What makes a call invalid: no name, a name that no tool has, arguments that are no JSON object; null if nothing. Null arguments are none."""
+    unknown = ~name.isin(*registered) if registered else F.lit(False)
+    broken = arguments.isNotNull() & ~F.coalesce(F.startswith(strip(arguments), F.lit("{")) & F.try_parse_json(arguments).isNotNull(), F.lit(False))
+    return F.when(F.coalesce(strip(name), F.lit("")) == "", "no name").when(unknown, "unknown tool").when(broken, "arguments are no object")

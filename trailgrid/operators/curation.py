@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.answers import any_of, same_answer, strip
-from ..functions.checks import call_signature
+from ..functions.checks import call_signature, unseen_numbers
 from ..functions.code import presentation, presented_answers
 
 #: Marks of an infrastructure error in a result; clauses of a plan that speak of one; openings that only follow one.
@@ -218,7 +218,8 @@ def revalidate(records: DataFrame, code_tool: str = "python_code_executor") -> D
 
     Issues: empty steps, no final step, answer changed, unknown type, no calls, no observations, observation without id,
     call without observation, observation without call, not recovered (an IndexError or NameError that no later success
-    of the same tool follows), repeated call, repeated observation (ids of a dialog), presentation call. A null old
+    of the same tool follows), repeated call, repeated observation (ids of a dialog), presentation call, numbers not
+    observed (of the answer's numbers some stand in no observation). A null old
     answer is not compared. One row for each step or call with the issue.
     """
     ids = lambda a: F.filter(F.transform(F.coalesce(a, F.array().cast("array<struct<id:string>>")), lambda x: F.coalesce(x["id"], F.lit(""))), lambda i: i != "")
@@ -250,8 +251,10 @@ def revalidate(records: DataFrame, code_tool: str = "python_code_executor") -> D
     calls = steps.select("dialog", "sq", "step", F.explode("s.calls").alias("c"))
     used = calls.select("dialog", "sq", "step", F.lit("repeated call").alias("issue"), F.col("c.id").alias("id")).unionAll(steps.select("dialog", "sq", "step", F.lit("repeated observation"), F.explode(F.transform("s.observations", lambda o: o["id"]))))
     again = used.where("coalesce(id, '') != ''").withColumn("n", F.row_number().over(Window.partitionBy("dialog", "issue", "id").orderBy("sq", "step"))).where("n > 1")
+    seen = F.flatten(F.transform(F.coalesce("steps", F.array().cast(records.schema["steps"].dataType.simpleString())), lambda s: F.coalesce(F.transform(s["observations"], lambda o: F.coalesce(o["content"], F.lit(""))), none)))
+    unseen = records.where(F.size(unseen_numbers(F.col("answer"), seen)) > 0).select("dialog", "sq", F.lit("numbers not observed").alias("issue"))
     shown = calls.where(F.col("c.name") == code_tool).where(presentation(F.get_json_object("c.arguments", "$.code"))["only_presents"])
-    return issues.unionAll(again.select("dialog", "sq", "issue")).unionAll(shown.select("dialog", "sq", F.lit("presentation call")))
+    return issues.unionAll(again.select("dialog", "sq", "issue")).unionAll(unseen).unionAll(shown.select("dialog", "sq", F.lit("presentation call")))
 
 
 def conflicting_calls(steps: Column) -> Column:

@@ -86,3 +86,19 @@ def future_dependencies(turns: DataFrame, reach: int = 2) -> DataFrame:
         seen.append(F.struct(i.alias("boundary"), F.when(F.col("kind") == "reference", every).otherwise(shared).alias("s")))
     rows = f.withColumn("seen", F.array(*seen)).select("sample", F.col("pos").alias("needed_by"), "kind", "what", "ref_kind", F.explode("seen").alias("b"))
     return rows.select("sample", "b.boundary", "needed_by", "kind", "what", "ref_kind", "b.s.*").where("sources > 0")
+
+
+def enriched(rule: DataFrame, told: DataFrame) -> DataFrame:
+    """(sample, sq, kind, value, entity, time, metric, unit, operation, confidence): items that a model told of a sub-question, else those of the rules.
+
+    rule and told: (sample, sq, kind, value, entity, time, metric, unit, operation[, confidence]). A told item starts at
+    0.75, less 0.05 for each of entity, time, metric and unit that is missing, less 0.1 for a derived value without its
+    operation; unknown kinds become text facts.
+    """
+    missing = lambda c: (F.coalesce(F.col(c), F.lit("")) == "").cast("int")
+    kind = F.when(F.col("kind").isin("raw_value", "derived_value", "text_fact"), F.col("kind")).otherwise("text_fact")
+    bare = ((kind == "derived_value") & (F.coalesce("operation", F.lit("")) == "")).cast("int")
+    confidence = F.lit(0.75) - 0.05 * (missing("entity") + missing("time") + missing("metric") + missing("unit")) - 0.1 * bare
+    columns = ["sample", "sq", "kind", "value", "entity", "time", "metric", "unit", "operation"]
+    made = told.select(*[F.col(c) for c in columns], F.greatest(F.lit(0.0), F.least(F.lit(1.0), confidence)).alias("confidence")).withColumn("kind", kind)
+    return made.unionByName(rule.select(*columns, "confidence").join(told.select("sample", "sq").distinct(), ["sample", "sq"], "left_anti"))

@@ -118,3 +118,44 @@ def middle(df: DataFrame, value: str, *keys: str) -> DataFrame:
     run = F.col("before") + F.sum("c").over(Window.partitionBy(*keys).orderBy(value))
     at = ranged.join(hit, [*keys, "range"]).withColumn("run", run).where("run > half").groupBy(*keys).agg(F.min(value).alias("middle"))
     return sums.join(at, list(keys))
+
+
+def file_scores(steps: DataFrame) -> DataFrame:
+    """One row of steps (recall, precision, f1, is_missing): means over all steps, missing ones as told, and over those that aren't missing; 0 without any."""
+    fine = ~F.coalesce(F.col("is_missing"), F.lit(False))
+    mean = lambda c, test: F.coalesce(F.avg(F.when(test, F.coalesce(F.col(c).cast("double"), F.lit(0.0)))), F.lit(0.0))
+    names = ("recall", "precision", "f1")
+    return steps.agg(*[mean(c, F.lit(True)).alias(f"strict_{c}") for c in names], *[mean(c, fine).alias(c) for c in names])
+
+
+def dialog_audits(records: DataFrame, gold: DataFrame) -> DataFrame:
+    """(sample, candidate, found, wanted, passes, issue) of records (sample, candidate, passes) and gold (sample, wanted).
+
+    A dialog passes if all its sub-questions do and they are as many as the gold has; without gold it never does.
+    """
+    per = records.groupBy("sample", "candidate").agg(F.count("*").alias("found"), F.bool_and("passes").alias("all"))
+    joined = per.join(gold.groupBy("sample").agg(F.max("wanted").alias("wanted")), "sample", "left").withColumn("wanted", F.coalesce("wanted", F.lit(0)))
+    issue = F.when(F.col("wanted") <= 0, "no gold").when(F.col("found") != F.col("wanted"), "count differs")
+    return joined.select("sample", "candidate", "found", "wanted", (F.col("all") & issue.isNull()).alias("passes"), issue.alias("issue"))
+
+
+def tool_error_audit(steps: DataFrame, lost: DataFrame, marks: tuple[str, ...]) -> DataFrame:
+    """(trace, errors, infrastructure, unrecovered) of steps (trace, step, tool, content, success) and the unrecovered ones (trace, step, tool)."""
+    infra = F.coalesce(F.col("content").rlike("|".join(marks)), F.lit(False))
+    own = steps.groupBy("trace").agg(F.count_if(~F.col("success")).alias("errors"), F.count_if(~F.col("success") & infra).alias("infrastructure"))
+    return own.join(lost.groupBy("trace").agg(F.count("*").alias("unrecovered")), "trace", "left").withColumn("unrecovered", F.coalesce("unrecovered", F.lit(0)))
+
+
+def recovery_tags(content: Column) -> Column:
+    """Errors of code that a result names, sorted."""
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(F.coalesce(content, F.lit("")), F.lit(r"\b(IndexError|NameError)\b"), F.lit(1))))
+
+
+def complete(ids: Column, n: Column) -> Column:
+    """Whether the distinct ids of an array are just 1 to n."""
+    return F.when(n > 0, F.array_sort(F.array_distinct(ids)) == F.sequence(F.lit(1), n.cast("int"))).otherwise(F.size(ids) == 0)
+
+
+def cache_figures(entries: DataFrame) -> DataFrame:
+    """One row of a cache's entries (value): how many, and megabytes of their texts."""
+    return entries.agg(F.count("*").alias("entries"), F.round(F.coalesce(F.sum(F.octet_length("value")), F.lit(0)) / (1 << 20), 6).alias("megabytes"))

@@ -65,8 +65,8 @@ def next_context(mode: Column, system: Column, summary: Column, history: Column)
 
 def turn_records(events: DataFrame) -> DataFrame:
     """(trace, turn, steps, latency, success) of events (trace, turn, at timestamp, kind): from a turn's question to its last event; it succeeds with an answer."""
-    seconds = F.max("at").cast("double") - F.min("at").cast("double")
-    return events.groupBy("trace", "turn").agg(F.count_if(F.col("kind") == "step").alias("steps"), F.round(seconds, 6).alias("latency"), (F.count_if(F.col("kind") == "answer") > 0).alias("success"))
+    seconds = (F.unix_micros(F.max("at")) - F.unix_micros(F.min("at"))) / 1e6
+    return events.groupBy("trace", "turn").agg(F.count_if(F.col("kind") == "step").alias("steps"), seconds.alias("latency"), (F.count_if(F.col("kind") == "answer") > 0).alias("success"))
 
 
 def repair_ids(calls: DataFrame, iteration: int) -> DataFrame:

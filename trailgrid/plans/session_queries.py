@@ -69,12 +69,12 @@ def accumulated_calls(s, d):
 
 
 @query("turn_records", """with t as (select user_id, ts, event_type, sum((event_type = 'view')::int) over (partition by user_id order by ts, event_id) as turn from events)
- select user_id, turn::bigint as turn, count(*) filter (where event_type in ('click', 'error')) as steps, round(epoch(max(ts)) - epoch(min(ts)), 4) as latency, bool_or(event_type = 'purchase') as success from t group by 1, 2""")
+ select user_id, turn::bigint as turn, count(*) filter (where event_type in ('click', 'error')) as steps, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 as latency, bool_or(event_type = 'purchase') as success from t group by 1, 2""")
 def turn_records(s, d):
     turn = F.sum((F.col("event_type") == "view").cast("long")).over(W.partitionBy("user_id").orderBy("ts", "event_id"))
     kind = F.when(F.col("event_type").isin("click", "error"), "step").when(F.col("event_type") == "purchase", "answer").otherwise("question")
     e = read(s, d, "events").select(F.col("user_id").alias("trace"), turn.alias("turn"), F.col("ts").cast("timestamp").alias("at"), kind.alias("kind"))
-    return sessions.turn_records(e).select(F.col("trace").alias("user_id"), "turn", "steps", F.round("latency", 4).alias("latency"), "success")
+    return sessions.turn_records(e).select(F.col("trace").alias("user_id"), "turn", "steps", "latency", "success")
 
 
 @query("repair_ids", "select l_orderkey, l_linenumber, 'repair_call_2_' || printf('%03d', row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber) - 1) as call_id, 'call_' || printf('%03d', row_number() over (partition by l_suppkey order by l_orderkey, l_linenumber)) as new_id from lineitem")

@@ -48,6 +48,21 @@ def searchable(files: DataFrame, extensions: tuple[str, ...] = ("csv", "xlsx", "
     return kept.where(name.rlike(name_pattern)) if name_pattern else kept
 
 
+def preview_texts(lines: DataFrame, key: str = "path", start: int = 1, n: int = 5) -> DataFrame:
+    """(key, text): the first n lines of each file numbered from `start`, under its name, lines in all, and lines not shown."""
+    shown = F.array_sort(F.collect_list(F.when(F.col("line_no") <= n, F.struct("line_no", F.rtrim("content").alias("content")))))
+    per = lines.groupBy(key).agg(F.count("*").alias("n"), shown.alias("s"))
+    body = F.array_join(F.transform("s", lambda x: F.format_string("%3d| %s", x["line_no"].cast("long") + (start - 1), x["content"])), "\n")
+    name = F.regexp_extract(F.col(key).cast("string"), r"[^/]*$", 0)
+    return per.select(key, F.concat(F.lit("["), name, F.lit("] Total rows: "), F.col("n").cast("string"), F.lit(", remaining rows not shown: "), (F.col("n") - F.size("s")).cast("string"), F.lit("\n" + "─" * 40 + "\n"), body).alias("text"))
+
+
+def matches_page(hits: DataFrame, start: int, most: int, *order: str) -> DataFrame:
+    """hits from number `start` (from 0) on in an order, at most `most`: those before are counted in a sort that keeps start + most rows a task."""
+    first = hits.orderBy(*order).limit(start + most)
+    return first.withColumn("_n", F.row_number().over(Window.orderBy(*order))).where(F.col("_n") > start).drop("_n")  # start + most rows
+
+
 def sheet_previews(lines: DataFrame, most: int = 3, *keys: str) -> DataFrame:
     """(keys, head array, total_rows) of each sheet: its first lines, and its lines but the header."""
     first = F.array_sort(F.collect_list(F.when(F.col("line_no") <= most, F.struct("line_no", "content"))))

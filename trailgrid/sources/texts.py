@@ -91,3 +91,16 @@ def unseen(samples: DataFrame, done: DataFrame, key: str = "task") -> DataFrame:
     """Samples whose key has no finished run; of equal keys the first by position stays."""
     first = F.row_number().over(Window.partitionBy(key).orderBy("pos"))
     return samples.join(done.select(key).distinct(), key, "left_anti").withColumn("rn", first).where("rn = 1").drop("rn")
+
+
+def json_lines(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a file or folder of JSON lines in a given schema; what isn't there is empty, and a line that is no JSON has no row."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+
+
+def json_documents(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of files that hold one JSON object, or an array of them, each."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -28,11 +28,12 @@ def tumbling(stream: DataFrame, width: str, late: str | None, *keys: str, time:
     return (stream.withWatermark(time, late) if late else stream).groupBy(F.window(time, width).alias("w"), *keys)
 
 
-def sliding(stream: DataFrame, width: str, step: str, late: str, *keys: str, time: str = "ts") -> DataFrame:
-    return stream.withWatermark(time, late).groupBy(F.window(time, width, step).alias("w"), *keys)
+def sliding(stream: DataFrame, width: str, step: str, late: str | None, *keys: str, time: str = "ts") -> DataFrame:
+    return (stream.withWatermark(time, late) if late else stream).groupBy(F.window(time, width, step).alias("w"), *keys)
 
 
 def sessions(stream: DataFrame, gap: str, late: str, *keys: str, time: str = "ts") -> DataFrame:
+    """Sessions are closed by the watermark, so `late` must cover how far out of order rows come."""
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap).alias("w"), *keys)
 
 
