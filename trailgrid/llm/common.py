@@ -66,6 +66,19 @@ class Scratch:
         self.spark.sparkContext._jvm.System.gc()
 
 
+def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key and `n`, how many rows of left have it; how: inner or left; n goes.
+
+    Keys with over a 512th of left's rows (and 1000) are fewer than 512, so their side is broadcast and their rows stay
+    where they are, spread over all tasks; null keys, which meet nothing, stay too. Only the rest is shuffled by key.
+    """
+    limit = max(1000, total // 512)
+    hot, rest = F.broadcast(right.where(F.col("n") > limit).drop("n")), right.where(F.col("n") <= limit).drop("n")
+    known = left.where(" and ".join(f"{k} is not null" for k in keys))
+    out = known.join(hot, keys).unionByName(known.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how))
+    return out.unionByName(left.where(" or ".join(f"{k} is null" for k in keys)), allowMissingColumns=True) if how == "left" else out
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))
