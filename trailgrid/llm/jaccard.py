@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, mix
+from .common import WORD, Scratch, join_hot, mix
 from .graph import components
 from .tokens import batch_numbers, sequence_numbers
 
@@ -309,13 +309,15 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     texts = rows.join(members.select("rep", F.col("first.id").alias("mid"), F.col("first.th").alias("mth")), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("rep", "txt").dropDuplicates(["rep"])
     dealt = dealt.select("comp", "bi", "bj", "own", "rep", "copies").join(texts, "rep").select("comp", "bi", "bj", "own", "rep", "copies", "txt")
     exact = scratch.keep(dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_exact_links(N, THRESHOLD), "a long, b long, w long"), "exact")
+    scratch.drop("walk0", "walk1", "walk2", "components", "members", "cut", "blocks")
     roots = scratch.keep(components(exact.where("b is not null"), "a", "b", scratch, "links"), "roots").withColumnRenamed("node", "rep")
     counts = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))
     firsts = roots.join(classes.select("rep", "first"), "rep").groupBy("root").agg(F.min("first")["id"].alias("least"))
     linked = roots.join(firsts, "root").join(counts, "rep", "left").select("rep", "root", "least", "links")
     ends = classes.select("rep", *keys, "copies", "first").join(linked, "rep", "left")
-    ends = ends.select(*keys, F.when(F.col("root").isNull(), F.col("first.id")).otherwise(F.col("least")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
-    done = signed.select("id", *keys).join(ends, keys, "left")
+    ends = ends.select(*keys, F.col("copies").alias("n"), F.when(F.col("root").isNull(), F.col("first.id")).otherwise(F.col("least")).alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("links"))
+    wordless = signed.where("size = 0").select("id", *keys)
+    done = join_hot(signed.where("size > 0").select("id", *keys), ends, keys, signed.count()).unionByName(wordless, allowMissingColumns=True)
     return done.select(F.col("id").alias(id_col), F.when(F.col("size") > 0, F.col("class_id")).otherwise(F.col("id")).alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"))
 
 
