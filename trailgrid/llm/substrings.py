@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, mix
+from .common import Scratch, join_hot, mix
 from .tokens import batch_numbers, sequence_numbers, split_words, with_separators
 
 #: Words of a window; levels of the first round and of the second above it.
@@ -154,9 +154,9 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(level.counts, pa.int64()), sha, level.lists(level.counts >= window), pa.array(blind)], names=["id", "th", "tl", "n_words", "sha", "symbols", "blind"])
 
     parsed = scratch.keep(rows.mapInArrow(parse, "id long, th long, tl long, n_words long, sha string, symbols array<long>, blind boolean"), "parsed")
-    firsts = parsed.where("id is not null").groupBy("th", "tl").agg(F.min("id").alias("first"))
-    known = scratch.keep(parsed.select("id", "th", "tl", "n_words", "sha").join(firsts, ["th", "tl"], "left"), "known")
-    once = parsed.where("n_words >= " + str(window)).select("id", "th", "tl", "symbols", "blind").join(firsts.withColumnRenamed("first", "id"), ["id", "th", "tl"], "left_semi")
+    firsts = parsed.groupBy("th", "tl").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    known = scratch.keep(join_hot(parsed.select("id", "th", "tl", "n_words", "sha"), firsts, ["th", "tl"], parsed.count()), "known")
+    once = parsed.where("n_words >= " + str(window)).select("id", "th", "tl", "symbols", "blind").join(firsts.select(F.col("first").alias("id"), "th", "tl"), ["id", "th", "tl"], "left_semi")
 
     def shared_names(symbols: DataFrame, name: str) -> DataFrame:
         """One Spark round: (id, th, shared), the numbers of the symbols whose names stand in two texts or more."""
