@@ -20,10 +20,10 @@ from math import inf
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unit
+from .common import Scratch, join_hot, unit
 
 #: Documents that one bucket of slots aims at.
-BUCKET = 4000
+BUCKET = 1000
 
 
 def _prefer(members: DataFrame, room: list[int], r: int) -> DataFrame:
@@ -111,10 +111,10 @@ def assign(documents: DataFrame, shards: int = 8, id_col: str = "doc_id", text_c
     # Per group: its size and up to which share of its members each shard reaches.
     reach = F.transform(F.array_sort("xs"), lambda x: x["shard"])
     upto = F.aggregate(F.array_sort("xs"), F.array().cast("array<bigint>"), lambda a, x: F.concat(a, F.array(F.coalesce(F.try_element_at(a, F.lit(-1)), F.lit(0)) + x["n"])))
-    groups = ended.groupBy("g").agg(F.collect_list(F.struct("shard", "n")).alias("xs"), F.sum("n").alias("all")).select("g", "all", reach.alias("at"), upto.alias("upto"))
+    groups = ended.groupBy("g").agg(F.collect_list(F.struct("shard", "n")).alias("xs"), F.sum("n").alias("all")).select("g", "all", reach.alias("at"), upto.alias("upto"), F.col("all").alias("n"))
     share = F.floor(unit("h", F.lit("share")) * F.col("all"))
     wish = F.when(F.size("at") == 1, F.get("at", F.lit(0))).otherwise(F.get("at", F.size(F.filter("upto", lambda u: u <= share))))
-    known = nodes.join(groups, "g", "left")
+    known = join_hot(nodes, groups, ["g"], total, "left")
     buckets = max(1, -(-total // BUCKET))
     big = F.coalesce(F.col("all") > BUCKET // 4, F.lit(False))
     placed = known.select("key", "size", "crc", "g", "h", F.coalesce(wish, F.lit(shards)).alias("w"), big.alias("big"), F.when(big, F.col("g")).otherwise(F.pmod(F.when(F.col("all") > 1, F.col("g")).otherwise(F.col("h")), F.lit(buckets))).alias("gb"), F.when(big, F.pmod(F.xxhash64("h"), F.ceil(F.col("all") / (BUCKET // 4)))).otherwise(0).alias("sub"))
