@@ -1,4 +1,4 @@
-"""Workbooks (.xlsx) read with the standard library: cells with merged ranges filled, and sheets as lines of CSV.
+"""Workbooks (.xlsx, .xls) read with the standard library: cells with merged ranges filled, and sheets as lines of CSV.
 
 A workbook is one zip file and so one task's; sheets are parsed as streams and rows are given on in batches.
 """
@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import legacy
+
 _BATCH = 20_000
 #: Numbers of the built-in date formats.
 DATE_FORMATS = {*range(14, 23), *range(27, 37), *range(45, 48), *range(50, 59)}
@@ -151,9 +153,10 @@ def workbook_cells(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"]):
-                if raw is None or not zipfile.is_zipfile(io.BytesIO(bytes(raw))):
-                    continue
-                yield from _batches(((path, name, *cell) for name, cells, ranges in sheets(bytes(raw)) for cell in _filled(cells, ranges)), names)
+                held = bytes(raw or b"")
+                read = legacy.sheets if legacy.is_legacy(held) else sheets if zipfile.is_zipfile(io.BytesIO(held)) else None
+                if read:
+                    yield from _batches(((path, name, *cell) for name, cells, ranges in read(held) for cell in _filled(cells, ranges)), names)
 
     return files.select("path", "content").mapInPandas(run, "path string, sheet string, row_no int, col_no int, value string")
 
@@ -177,4 +180,4 @@ def workbook_lines(files: DataFrame) -> DataFrame:
 
 def read_workbooks(spark: SparkSession, folder: str) -> DataFrame:
     """(path, content) of the workbooks below a folder."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.xlsx").load(folder).select("path", "content")
+    return spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{xlsx,xls}").load(folder).select("path", "content")
