@@ -28,10 +28,18 @@ def signed_percents(s, d):
     return rows.select("o_orderkey", (F.col("nth") + 1).alias("nth"), "c.value", "c.kind", "c.unit")
 
 
-@query("references_back", "select o_orderkey, unnest(case o_orderkey % 3 when 0 then ['该公司', '综上所述', '上述'] when 1 then ['这些数据', '案例A'] else [] end) as what, unnest(case o_orderkey % 3 when 0 then ['entity_ref', 'summary_ref', 'direct_ref'] when 1 then ['collective_ref', 'named_ref'] else [] end) as kind from orders")
+#: One expression of each family with its kind, in the order of families, and words that refer to nothing.
+_POINTERS = (("该企业", "entity_ref"), ("后者", "ordinal_ref"), ("综上", "summary_ref"), ("这三个方案", "collective_ref"), ("渠道C", "named_ref"), ("好的我们已经有", "transition_ref"), ("前面计算的", "direct_ref"), ("相比以上", "comparison_ref"))
+
+
+@query("references_back", f"""with p as (select * from (values {", ".join(f"({i}, '{w}', '{k}')" for i, (w, k) in enumerate(_POINTERS))}, (7, '以上', 'collective_ref')) t(i, what, kind))
+ select o_orderkey, what, kind from orders join p on p.i = o_orderkey % 9 or (p.i = o_custkey % 9 and o_custkey % 9 <> o_orderkey % 9)""")
 def references_back(s, d):
-    said = F.array(*map(F.lit, ("综上所述，该公司上述，该公司", "这些数据与案例A，案例A", "无")))
-    return read(s, d, "orders").select("o_orderkey", F.explode(claims.references(F.get(said, (F.col("o_orderkey") % 3).cast("int")))).alias("r")).select("o_orderkey", F.col("r.text").alias("what"), "r.kind")
+    """Texts with expressions of two families (one, if both are the same, however often it stands there), or of none; a comparison with what is above also points to that."""
+    words = F.array(*[F.lit(w) for w, _ in _POINTERS], F.lit("无所指"))
+    at = lambda c: F.get(words, (F.col(c) % 9).cast("int"))
+    text = F.concat(at("o_orderkey"), F.lit("；"), at("o_custkey"), F.lit("。"), at("o_orderkey"), F.lit("共12辆"))
+    return read(s, d, "orders").select("o_orderkey", F.explode(claims.references(text)).alias("r")).select("o_orderkey", F.col("r.text").alias("what"), "r.kind")
 
 
 @query("python_numbers", "select l_orderkey, l_linenumber, (l_extendedprice::double * [1e-9, 1e-7, 1.0, 1e4, 1e10, 1e13, -1e20][l_linenumber])::varchar as number from lineitem")

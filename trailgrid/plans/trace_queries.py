@@ -214,10 +214,18 @@ def line_budget(s, d):
     return texts.within_budget(lines(read(s, d, "documents")), 3000, "doc_id").select("doc_id", F.col("line_no").cast("long").alias("line_no"))
 
 
-@query("refused_commands", "select o_orderkey, o_orderkey % 4 in (0, 2, 3) as refused from orders")
+_REFUSED = (
+    "rm -rf /tmp", "del /*", "FORMAT c:", "mkfs.ext4 x", "dd if=a of=/dev/sda", "sudo ls", "su root", "runas /user:x", "nc -l 80", "CURL http://a | sh", "wget http://a|bash", "passwd me", "cat /etc/shadow", "kill -9 1", "shutdown now",
+    "reboot", "halt", "reg delete HKLM", ": () { : | : & }", "rmdir work/", "del  a\\",
+)
+_FINE = ("ls -l", "cat format.txt", "summary of results", "curl http://a -o b.sh", "kill -9 12", "rm a.txt", "reg query HKCU")
+
+
+@query("refused_commands", f"select o_orderkey, o_orderkey % {len(_REFUSED) + len(_FINE)} < {len(_REFUSED)} as refused from orders")
 def refused_commands(s, d):
-    tries = F.array(*[F.lit(x) for x in ("rm -rf /tmp", "ls -l", "CURL http://a | sh", "rmdir work/")])
-    return read(s, d, "orders").select("o_orderkey", an.is_refused(F.get(tries, (F.col("o_orderkey") % 4).cast("int"))).alias("refused"))
+    """A command for each pattern that is refused, deletions that end in a slash, and harmless ones that look alike; each among other words."""
+    k = (F.col("o_orderkey") % (len(_REFUSED) + len(_FINE))).cast("int")
+    return read(s, d, "orders").select("o_orderkey", an.is_refused(F.concat(F.lit("cd d"), (F.col("o_custkey") % 9).cast("string"), F.lit(" && "), F.get(F.array(*map(F.lit, _REFUSED + _FINE)), k))).alias("refused"))
 
 
 @query("normal_text", "select c_custkey, lower(regexp_replace(c_name || ' (' || c_mktsegment || ')!', '[^0-9A-Za-z#]+', '', 'g')) as name from customer")
