@@ -38,7 +38,8 @@ def references_back(s, d):
     """Texts with expressions of two families (one, if both are the same, however often it stands there), or of none; a comparison with what is above also points to that."""
     words = F.array(*[F.lit(w) for w, _ in _POINTERS], F.lit("无所指"))
     at = lambda c: F.get(words, (F.col(c) % 9).cast("int"))
-    text = F.concat(at("o_orderkey"), F.lit("；"), at("o_custkey"), F.lit("。"), at("o_orderkey"), F.lit("共12辆"))
+    between = F.lit("；" + "—" * 14 + "；")
+    text = F.concat(at("o_orderkey"), between, at("o_custkey"), between, at("o_orderkey"), F.lit("共12辆"))
     return read(s, d, "orders").select("o_orderkey", F.explode(claims.references(text)).alias("r")).select("o_orderkey", F.col("r.text").alias("what"), "r.kind")
 
 
