@@ -9,7 +9,8 @@ fitted for each level to RECALL by exact answers of PROBES queries against all v
 have no structure (uniform directions in many dimensions) it grows until most lists are searched.
 Inner products become distances by one more component (the missing norm), so norms may differ.
 Lists that lie near one another stand on one shelf, which a task reads at once, so that a query passes
-on its best of a shelf and not of every list; what a query reads is always at least what it selected.
+on its best of a shelf and not of every list; what a query reads is always at least what it selected,
+and what stands on several lists of a shelf is there once.
 Equal vectors are indexed once with their k + 1 smallest ids, which is all that a result can hold;
 shelves and their queries are cut into blocks, so that no task holds a whole large one. A query that
 finds fewer than k is compared with all vectors, in blocks.
@@ -38,7 +39,7 @@ REPLICA_RATIO, RECALL, PROBES = 1.02, 0.98, 128
 #: Links of a centroid in the graph; candidates that a search holds at first (doubled where all of them are within the ratio).
 LINKS, BEAM = 24, 32
 #: Lists of a shelf; bytes of vectors and number of queries that one task compares, and queries at a time.
-SHELF, BLOCK_BYTES, QUERY_BLOCK, AT_ONCE = 16, 1 << 24, 1024, 128
+SHELF, BLOCK_BYTES, QUERY_BLOCK, AT_ONCE = 16, 1 << 24, 4096, 128
 _STEP = 8192
 
 
@@ -192,10 +193,9 @@ def _best(x: np.ndarray, ids: np.ndarray, y: np.ndarray, most: int) -> tuple[np.
 
 def _compare(space: Space, most: int):
     def run(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        """Vectors and queries of one pair of blocks: the best of each query. What stands on several lists of a shelf counts once."""
+        """Vectors and queries of one pair of blocks: the best of each query."""
         if not len(a) or not len(b):
             return pd.DataFrame({"query": pd.Series(dtype="int64"), "vid": pd.Series(dtype="int64"), "score": pd.Series(dtype="float64")})
-        a, b = a.drop_duplicates("vid"), b.drop_duplicates("vid")
         x, ids, asked, out = space.rows(a["v"]), a["vid"].to_numpy(), b["vid"].to_numpy(), []
         for at in range(0, len(b), AT_ONCE):
             row, near, score = _best(x, ids, space.rows(b["v"].iloc[at : at + AT_ONCE]), most)
@@ -348,9 +348,9 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         wanted = both.withColumn("least", F.min("d").over(Window.partitionBy("vid"))).where(F.col("d") <= F.col("least") * ratios[level] + 1e-9).drop("least")
     places = F.broadcast(spark.createDataFrame([(i, int(x)) for i, x in enumerate(shelves_of(top, SHELF))], "list long, place long"))  # at most SAMPLE / 8 rows
     # Children of one list have numbers in a row: SHELF of them share a shelf.
-    shelved = lambda df: df.join(places, "list", "left").select(F.coalesce("place", F.floor(F.col("list") / SHELF) + (1 << 20)).alias("shelf"), "vid", "v")
+    shelved = lambda df: df.join(places, "list", "left").select(F.coalesce("place", F.floor(F.col("list") / SHELF) + (1 << 20)).alias("shelf"), "vid", "v").dropDuplicates(["shelf", "vid"])
     wanted = scratch.keep(shelved(wanted), "wanted")
-    found = scratch.keep(_paired(shelved(tiers), wanted, space, most).groupBy("query", "vid").agg(F.max("score").alias("score")), "found")
+    found = scratch.keep(_paired(scratch.keep(shelved(tiers), "shelves"), wanted, space, most).groupBy("query", "vid").agg(F.max("score").alias("score")), "found")
     # Queries that met fewer vectors than a result holds are compared with all of them.
     enough = min(most, count)
     full = found.groupBy("query").agg(F.count("*").alias("n")).where(F.col("n") >= enough)
