@@ -14,6 +14,8 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -32,18 +34,37 @@ def let(value: F.Column, body) -> F.Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def targets(units: DataFrame, share: float, cap: float, weights: tuple[float, ...]) -> DataFrame:
-    """Per source: none, name, source_size, units, target. One row a source, so one task sees them all."""
+def numbered(df: DataFrame, scratch: Scratch, name: str, *order: str) -> DataFrame:
+    """df with `place`, its number from 0 in an order: ranges of rows are numbered apart and start where those before end, so no task sorts all."""
+    ranged = scratch.keep(df.repartitionByRange(*order).withColumn("part", F.spark_partition_id()), name)
+    counts = dict(ranged.groupBy("part").agg(F.count("*").alias("n")).collect())  # one row a partition
+    before, upto = {}, 0
+    for part in sorted(counts):
+        before[part], upto = upto, upto + counts[part]
+    start = F.create_map(*[F.lit(x).cast("long") for pair in before.items() for x in pair])[F.col("part").cast("long")] if before else F.lit(0).cast("long")
+    return ranged.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1 + start).drop("part")
+
+
+def targets(units: DataFrame, share: float, cap: float, weights: tuple[float, ...], scratch: Scratch) -> DataFrame:
+    """Per source: none, name, source_size, units, target, for any number of sources.
+
+    All share by weight what sources at their ceiling leave; each round puts those above theirs there, until none is above.
+    """
     per = units.groupBy("none", "name").agg(F.sum(F.col("size") * F.col("m")).alias("source_size"), F.sum(F.when(F.col("size") > 0, 1).otherwise(0)).alias("units"))
-    place = F.row_number().over(Window.orderBy("none", "name")) - 1
-    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (place % len(weights) + 1).cast("int"))
+    weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("place") % len(weights) + 1).cast("int"))
     ceiling = F.lit(float(cap)) * F.col("source_size")
-    ranked = per.withColumn("w", weight).withColumn("ratio", ceiling / F.col("w"))
-    order = Window.orderBy("ratio", "none", "name")
-    below, onward, everything = order.rowsBetween(Window.unboundedPreceding, -1), order.rowsBetween(Window.currentRow, Window.unboundedFollowing), Window.partitionBy()
-    filled = ranked.withColumn("all", F.sum("source_size").over(everything)).withColumn("level", (F.lit(float(share)) * F.col("all") - F.lit(float(cap)) * F.coalesce(F.sum("source_size").over(below), F.lit(0))) / F.sum("w").over(onward))
-    water = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything)
-    return filled.withColumn("water", water).select("none", "name", "source_size", "units", F.when(F.col("water").isNull() | (F.col("ratio") <= F.col("water")), ceiling).otherwise(F.col("water") * F.col("w")).alias("target"))
+    ranked = scratch.keep(numbered(per, scratch, "sources", "none", "name").withColumn("w", weight).withColumn("ceiling", ceiling).drop("place"), "ranked")
+    whole = ranked.agg(F.coalesce(F.sum("source_size"), F.lit(0)).alias("all"), F.sum("w").alias("w")).first()
+    level = float(share) * whole["all"] / whole["w"] if whole["w"] else 0.0
+    while True:
+        over = F.col("ceiling") <= F.lit(level) * F.col("w")
+        now = ranked.agg(F.coalesce(F.sum(F.when(over, F.col("ceiling"))), F.lit(0.0)).alias("full"), F.sum(F.when(~over, F.col("w"))).alias("w")).first()
+        later = (float(share) * whole["all"] - now["full"]) / now["w"] if now["w"] else math.inf
+        if later <= level:
+            break
+        level = later
+    target = F.least(F.col("ceiling"), F.lit(level) * F.col("w"))
+    return ranked.select("none", "name", "source_size", "units", target.alias("target"))
 
 
 def _step(state: F.Column, x: F.Column, key: str) -> F.Column:
@@ -88,7 +109,7 @@ def plan(documents: DataFrame, share: float = 1.5, cap: float = 2.0, weights: tu
     key = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("key"), F.col(source_col).isNull().alias("none"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("name"), word_count(F.col(text_col)).alias("size"))
     units = scratch.keep(rows.groupBy("key", "none", "name", "size").agg(F.count("*").alias("m")), "units")
-    goals = scratch.keep(targets(units, share, cap, weights), "targets")
+    goals = scratch.keep(targets(units, share, cap, weights, scratch), "targets")
     few = goals.limit(FEW + 1).count() <= FEW
     goals = F.broadcast(goals) if few else goals
     most = goals.agg(F.coalesce(F.max("units"), F.lit(0))).first()[0]
