@@ -197,3 +197,32 @@ def test_reports_and_schemas(spark):
     assert plugins.tool_schema("grep_search")["function"]["parameters"]["required"] == ["path", "pattern"]
     told = plugins.descriptions(spark.createDataFrame([("b", "general", "y"), ("a", "general", "x")], "name string, listed string, about string")).first()
     assert told.text == "- a: x\n- b: y" and re.match("general", told.listed)
+
+
+def test_scans_of_folders(spark, tmp_path):
+    (tmp_path / "a" / ".git").mkdir(parents=True)
+    for name in ("a/x.CSV", "a/y.txt", "z.xlsx", "a/.git/w.csv"):
+        (tmp_path / name).write_text("1")
+    found = tables.scan_files(spark, str(tmp_path))
+    assert sorted((r.name, r.extension, r.size) for r in found.collect()) == [("w.csv", "csv", 1), ("x.CSV", "csv", 1), ("z.xlsx", "xlsx", 1)]
+    assert [r.name for r in tables.searchable(found, ("csv",)).collect()] == ["x.CSV"] and tables.searchable(found, name_pattern="^X").count() == 0
+
+
+def test_json_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\nnot json\n{"b": 2}\n')
+    (tmp_path / "b.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(map(str, (r.a for r in texts.json_lines(spark, str(tmp_path / "a.jsonl"), "a int").collect()))) == ["1", "None"]
+    assert texts.json_lines(spark, str(tmp_path / "c.jsonl"), "a int").count() == 0
+    assert sorted(r.a for r in texts.json_documents(spark, str(tmp_path / "b.json"), "a int").collect()) == [1, 2]
+
+
+def test_empty_tables(spark):
+    empty = lambda kind: spark.createDataFrame([], kind)
+    assert gold.first_sample(empty("trace string, query string"), empty("pos int, task string")).count() == 0
+    assert gold.find_anchors(empty("trace string, pos int, role string, content string"), empty("trace string, sq int, item string")).count() == 0
+    assert reports.middle(empty("k int, v double"), "v", "k").count() == 0 and rewards.returns(empty("k int, t int, r double"), "k", ["t"], "r").count() == 0
+    cells = empty("sheet string, row_no int, col_no int, text string")
+    assert grid.parsed_rows(cells).count() == grid.merged_rows(cells, 2).count() == grid.flattened_rows(cells).count() == 0
+    assert retrieval.row_blocks(empty("path string, line_no int, content string")).count() == 0
+    assert curation.cleaned(empty(f"dialog string, sq int, steps {STEP}, final struct<answer:string,data_source:array<string>>")).count() == 0
+    assert reports.run_summary(empty("success boolean, turns int, tokens int, success_rate double, parallelism double")).first().runs == 0

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .answers import TIME, strip
+from .text import number
 
 #: Words before a percentage, by what they make of it, in the order tried.
 _FALL = "下降|减少|降低|下滑|回落|下跌"
@@ -150,3 +151,11 @@ def python_number(value: Column) -> Column:
 def any_in(text: Column, words: Column) -> Column:
     """Whether one of an array of texts holds the text, whatever the case."""
     return F.coalesce(F.exists(words, lambda w: F.contains(F.lower(w), F.lower(text))), F.lit(False))
+
+
+def normal_cell(cell: Column) -> Column:
+    """A cell's text as a repaired grid shows it: numbers without separators, percentages as their hundredth, as Python writes them; null is empty, other texts stay, untrimmed."""
+    bare, share = F.regexp_replace(F.trim(cell), "[,%]", ""), F.endswith(F.trim(cell), F.lit("%"))
+    whole = F.when(bare.rlike(r"^[+-]?\d{1,38}$") & ~share, bare.try_cast("decimal(38,0)").cast("string"))
+    shown = F.get(F.transform(F.array(number(cell)), python_number), F.lit(0))  # the number is worked out once
+    return F.when(F.coalesce(cell, F.lit("")) == "", "").otherwise(F.coalesce(whole, shown, cell))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions import checks, plugins
+from ..functions import checks, claims, plugins
 from ..functions.text import number
 from ..operators import grid, retrieval, sessions
 from ..sources import tables
@@ -404,3 +404,13 @@ def late_interaction(s, d):
 def cell_numbers(s, d):
     at = F.col("c_acctbal").cast("string")
     return read(s, d, "customer").select("c_custkey", number(at).alias("plain"), F.round(number(_say(" ", at, "%")), 8).alias("share"), number(F.col("c_name")).alias("word"))
+
+
+@query("normal_cells", "select o_orderkey, case o_orderkey % 6 when 0 then (o_custkey + 1000)::varchar when 1 then (o_custkey + 0.5)::double::varchar when 2 then ((o_custkey % 90 + 5) / 100.0)::double::varchar when 3 then ' x ' || o_custkey when 4 then '' else '-' || (o_custkey + 1000000) end as cell from orders")
+def normal_cells(s, d):
+    k, c = F.col("o_orderkey") % 6, F.col("o_custkey")
+    cell = (
+        F.when(k == 0, _say(" 0", F.format_number(c + 1000, 0), " ")).when(k == 1, _say(c, ".50")).when(k == 2, _say(c % 90 + 5, "% ")).when(k == 3, _say(" x ", c))
+        .when(k == 4, F.when(c % 2 == 0, "")).otherwise(_say("-", F.format_number(c + 1000000, 0)))
+    )
+    return read(s, d, "orders").select("o_orderkey", claims.normal_cell(cell).alias("cell"))

@@ -240,3 +240,37 @@ def stream_increments(s, d):
     for _ in range(2):
         rows = windows.run(windows.events(s, d).select("event_type", "event_id"), [], "append", at)
     return rows.groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("first_times", "select o_orderkey, case when o_orderkey % 3 > 0 then year(o_orderdate) || '年' || case when o_orderkey % 3 = 1 then month(o_orderdate) || '月上旬' else '' end end as time from orders")
+def first_times(s, d):
+    k, at = F.col("o_orderkey"), F.col("o_orderdate")
+    text = F.when(k % 3 == 0, _say("no time in ", k)).when(k % 3 == 1, _say("于", F.year(at), "年", F.month(at), "月上旬，后于1999年")).otherwise(_say("在", F.year(at), "年，"))
+    return read(s, d, "orders").select("o_orderkey", an.first_time(text).alias("time"))
+
+
+@query("group_keys", "select l_orderkey, l_linenumber, 'task_' || l_orderkey || '_sq' || l_linenumber as rollout_group from lineitem")
+def group_keys(s, d):
+    return read(s, d, "lineitem").select("l_orderkey", "l_linenumber", an.group_key(_say("task_", F.col("l_orderkey"), "_sq", F.col("l_linenumber"), "_k", F.col("l_partkey"))).alias("rollout_group"))
+
+
+@query("same_answers", "select o_orderkey, o_orderkey % 4 = 0 and o_custkey % 2 = 0 as strict, o_orderkey % 4 < 3 and o_custkey % 2 = 0 as lenient from orders")
+def same_answers(s, d):
+    """Answers by k % 4: equal, equal but for spaces, of the same numbers in other words, and of other numbers; half of them name another source."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey")
+    text = _say("in ", c + 1000, " of ", k + 5000, " cases, 12%")
+    other = F.when(k % 4 == 0, text).when(k % 4 == 1, F.concat(F.lit("  "), F.replace(text, F.lit(" "), F.lit("   ")))).when(k % 4 == 2, _say("12% of ", k + 5000, "; ", c + 1000)).otherwise(_say("about ", c + 7, " of ", k + 3, " or 99%"))
+    answer = lambda t, f: F.struct(t.alias("answer"), F.array(F.lit("a"), f).alias("data_source"))
+    a, b = answer(text, F.lit("b")), F.struct(other.alias("answer"), F.array(F.when(c % 2 == 0, "b").otherwise("c"), F.lit("a")).alias("data_source"))
+    return read(s, d, "orders").select("o_orderkey", an.same_answer(a, b).alias("strict"), an.same_answer(a, b, False).alias("lenient"))
+
+
+@query("aligned_steps", """with t as (select *, sum((role = 'user')::int) over (partition by conv_id order by turn) as q from conversations where role <> 'system'), p as (select conv_id, q, arg_min(text, turn) filter (where role = 'assistant') as answer, max(text) filter (where role = 'user') as asked from t where q > 0 group by 1, 2),
+ n as (select conv_id, row_number() over (partition by conv_id order by q) as step_index, answer from p where asked <> ''), g as (select conv_id, unnest(range(1, count(*) + 2)) as step_index from n group by 1) select g.conv_id, g.step_index, coalesce(n.answer = '', true) as is_missing from g left join n on n.conv_id = g.conv_id and n.step_index = g.step_index""")
+def aligned_steps(s, d):
+    """Gold has one step more than a conversation has questions."""
+    none = F.lit(None).cast("array<struct<name:string,arguments:string>>")
+    m = read(s, d, "conversations").where("role <> 'system'").select(F.col("conv_id").alias("trace"), F.col("turn").alias("pos"), "role", F.col("text").alias("content"), none.alias("calls"))
+    found = traces.pairs(traces.actions(m))
+    gold = found.groupBy("trace").agg(F.count("*").alias("n")).select("trace", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n") + 1)).alias("step_index"))
+    return traces.align(gold, found.withColumn("step_index", F.col("step_index").cast("long"))).select(F.col("trace").alias("conv_id"), "step_index", "is_missing")
