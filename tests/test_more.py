@@ -200,8 +200,8 @@ def test_reports_and_schemas(spark):
 
 
 def test_scans_of_folders(spark, tmp_path):
-    (tmp_path / "a" / ".git").mkdir(parents=True)
-    for name in ("a/x.CSV", "a/y.txt", "z.xlsx", "a/.git/w.csv"):
+    (tmp_path / "a" / "node_modules").mkdir(parents=True)
+    for name in ("a/x.CSV", "a/y.txt", "z.xlsx", "a/node_modules/w.csv"):
         (tmp_path / name).write_text("1")
     found = tables.scan_files(spark, str(tmp_path))
     assert sorted((r.name, r.extension, r.size) for r in found.collect()) == [("w.csv", "csv", 1), ("x.CSV", "csv", 1), ("z.xlsx", "xlsx", 1)]
