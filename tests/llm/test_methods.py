@@ -65,6 +65,11 @@ def test_other_scripts_and_random_letters_are_not_known(spark, model):
     assert kept.columns == made.columns and sorted(r.text for r in kept.collect()) == sorted(fine)
 
 
+def test_without_labels_nothing_is_rejected(spark):
+    docs = spark.createDataFrame([(1, "text", None), (2, None, None)], "doc_id long, text string, lang string")
+    assert language.keep_known(docs, language.learn(docs)).count() == 2 and {r.lang_pred for r in language.predictions(docs).collect()} == {"und"}
+
+
 def test_a_hot_id_does_not_grow_the_sample(spark):
     rows = [(7, "the same text of one hot document", "en")] * 3000 + [(i, f"text number {i} of many", "en") for i in range(2000)] + [(9000 + i, f"peu de texte {i}", "fr") for i in range(3)]
     held = language.learn(spark.createDataFrame(rows, "doc_id long, text string, lang string"))

@@ -205,7 +205,12 @@ def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id",
 
 
 def keep_known(documents: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """documents without those that no learned language codes well: `und`, and code lengths above the ceiling. Null texts go."""
+    """documents without those that no learned language codes well: `und` (null texts are), and code lengths above the ceiling.
+
+    A model that has learned no language rejects nothing. Columns may have any names.
+    """
+    if not model.langs:
+        return documents
     found = _identified(documents, model, text_col, documents.columns).where("known")
     return found.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(documents.columns)])
 
