@@ -19,27 +19,39 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rejects texts without a letter and texts that even their best language codes much longer than unseen texts of it."""
+    """Rejects texts without a letter and texts that even their best language codes much longer than unseen texts of it.
+
+    Null and empty texts go; null ids, sources and languages don't matter; repeated rows stay as often as they are;
+    without a labelled row nothing is rejected.
+    """
     return language.keep_known(docs, language.learn(docs))
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the least document of each component of near-duplicates."""
+    """Keeps the least document of each component of near-duplicates (five words, 0.8).
+
+    Documents with null ids come last in their component, and all stay that have no near copy; different texts under one id
+    are documents of their own; of repeated rows of the kept document one stays. Wordless texts are near no other.
+    """
     return jaccard.keep_one(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces personal data by placeholders; no document goes."""
+    """Replaces personal data by placeholders; no document goes. Null texts stay null, others get their n_chars anew."""
     return _counted(pii.mask(docs))
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies documents, or leaves them out, so that sources meet their targets."""
+    """Copies documents, or leaves them out, so that sources meet their targets.
+
+    Wordless and null texts are never taken; a null source is a source of its own; null ids and repeated rows are mixed
+    like others; the one document of a source that is taken in part keeps its first words.
+    """
     return _counted(mixing.apply(docs))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """(doc_id, source, ids, n_tokens) of what is left."""
+    """(doc_id, source, ids, n_tokens) of what is left, a row each; a null text has no tokens."""
     return bpe.encode(docs, bpe.vocabulary_path(), keep=("source",)).withColumn("n_tokens", F.size("ids").cast("long"))
 
 
