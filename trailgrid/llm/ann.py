@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, unit
+from .common import Scratch, tidy, unit
 
 #: Vectors that first centroids are fitted on (at most, a bounded sample by a hash of the id), vectors of a list, centroids that a list is split by, levels of splits.
 SAMPLE, LIST, FANOUT, LEVELS = 32_768, 500, 64, 3
@@ -267,7 +267,7 @@ def _fitted(truth: pd.DataFrame, y: np.ndarray, held: DataFrame, centres: DataFr
                 at = np.flatnonzero([i in needed for i in ids.tolist()])
                 yield pd.DataFrame({"probe": np.repeat(np.arange(len(y)), len(at) + 1), "list": np.tile(np.append(ids[at], -1), len(y)), "d": np.concatenate([d[:, at], d.min(1)[:, None]], axis=1).ravel()})
 
-        told = centres.mapInPandas(run, "probe long, list long, d double").groupBy("probe", "list").agg(F.min("d").alias("d")).toPandas()
+        told = centres.mapInPandas(tidy(run), "probe long, list long, d double").groupBy("probe", "list").agg(F.min("d").alias("d")).toPandas()
         nearest = told[told["list"] == -1].sort_values("probe")["d"].to_numpy()
         wanted = wanted.merge(told, on=["probe", "list"])
     need = (wanted["d"] / np.maximum(nearest[wanted["probe"]], 1e-12)).groupby([wanted["probe"], wanted["vid"]]).min()
@@ -308,7 +308,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         return run
 
     schema = f"list long, vid long, v array<{element}>, d double"
-    post = scratch.keep(known.select("vid", "v").mapInPandas(to_lists(REPLICA_RATIO, space.lift), schema).drop("d"), "lists0")
+    post = scratch.keep(known.select("vid", "v").mapInPandas(tidy(to_lists(REPLICA_RATIO, space.lift)), schema).drop("d"), "lists0")
     levels, tiers = [(post, top, None)], post
     for level in range(1, LEVELS + 1):
         made = _split(tiers, space)
@@ -330,7 +330,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
             yield pd.DataFrame({"probe": row, "vid": ids, "score": score})
 
     nth = F.row_number().over(Window.partitionBy("probe").orderBy(F.desc("score"), "vid"))
-    truth = known.select("vid", "v").mapInPandas(exactly, "probe long, vid long, score double").withColumn("o", nth).where(F.col("o") <= most).toPandas()  # PROBES x (k + 1)
+    truth = known.select("vid", "v").mapInPandas(tidy(exactly), "probe long, vid long, score double").withColumn("o", nth).where(F.col("o") <= most).toPandas()  # PROBES x (k + 1)
     truth = truth[truth["vid"].to_numpy() != own[truth["probe"].to_numpy()]]
     lifted = space.lift_query(probes)
     each, centres = recall ** (1 / len(levels)), spark.createDataFrame([(i, c.tolist()) for i, c in enumerate(top)], "list long, centre array<double>")
@@ -340,7 +340,7 @@ def search(vectors: DataFrame, k: int = 20, every: int = 20, id_col: str = "vec_
         centres = scratch.keep(centres, f"centres{len(ratios)}")
         ratios.append(_fitted(truth, lifted, held, centres, each))
 
-    wanted = queries.mapInPandas(to_lists(ratios[0], space.lift_query), schema)
+    wanted = queries.mapInPandas(tidy(to_lists(ratios[0], space.lift_query)), schema)
     for level, (_, _, (children, sizes)) in enumerate(levels[1:], 1):
         wanted = scratch.keep(wanted, f"wanted{level}")
         below = _to_children(wanted.join(sizes.select("list"), "list", "left_semi").drop("d"), children, sizes, space, space.lift_query, math.inf, element)

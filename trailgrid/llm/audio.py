@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Samples a second as stored and as analysed, window and step in samples, clip shape.
 STORED_HZ, HZ, WINDOW, STEP, FRAMES, MELS = 16_000, 8_000, 512, 256, 16, 32
 #: Taps of the resampling filter for each phase; clips in a block.
@@ -175,7 +177,7 @@ def clips(analysed: DataFrame, id_col: str = "doc_id", tensors_col: str = "tenso
                     )
 
     kind = analysed.schema[id_col].dataType.simpleString()
-    return analysed.select(F.col(id_col).alias("key"), tensors_col).mapInArrow(run, f"key {kind}, clip_no long, start_s double, end_s double, clip array<float>").withColumnRenamed("key", id_col)
+    return analysed.select(F.col(id_col).alias("key"), tensors_col).mapInArrow(tidy(run), f"key {kind}, clip_no long, start_s double, end_s double, clip array<float>").withColumnRenamed("key", id_col)
 
 
 def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -189,7 +191,7 @@ def store(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([n for n, _ in made], pa.int64()), pa.array([to_wav(p) for _, p in made], pa.binary())], names=["key", "n_bytes", "media"])
 
     schema = T.StructType([T.StructField("key", documents.schema[id_col].dataType), T.StructField("n_bytes", T.LongType()), T.StructField("media", T.BinaryType())])
-    return documents.select(F.col(id_col).alias("key"), F.col(text_col).alias("txt")).mapInArrow(run, schema).withColumnRenamed("key", id_col)
+    return documents.select(F.col(id_col).alias("key"), F.col(text_col).alias("txt")).mapInArrow(tidy(run), schema).withColumnRenamed("key", id_col)
 
 
 _SPAN = T.ArrayType(T.StructType([T.StructField("start_s", T.DoubleType()), T.StructField("end_s", T.DoubleType())]))
@@ -222,7 +224,7 @@ def analyse(media: DataFrame, media_col: str = "media") -> DataFrame:
                     names=[*columns, *_READ.names],
                 )
 
-    return media.mapInArrow(run, T.StructType([*media.schema.fields, *_READ.fields]))
+    return media.mapInArrow(tidy(run), T.StructType([*media.schema.fields, *_READ.fields]))
 
 
 def report(documents: DataFrame) -> DataFrame:

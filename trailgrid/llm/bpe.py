@@ -23,6 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Parts above which a word is merged by a heap.
 LONG = 192
 #: Words that a Python worker remembers; beyond that its memory of words starts anew.
@@ -176,7 +178,7 @@ def encode(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.ListArray.from_arrays(offsets, np.concatenate(made))], names=names)
 
     schema = T.StructType([*[T.StructField(n, df.schema[c].dataType) for n, c in zip(names, carried)], T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    return df.select(*[F.col(c).alias(n) for n, c in zip(names, carried)], F.col(text_col).alias("txt")).mapInArrow(run, schema).toDF(*carried, "ids")
+    return df.select(*[F.col(c).alias(n) for n, c in zip(names, carried)], F.col(text_col).alias("txt")).mapInArrow(tidy(run), schema).toDF(*carried, "ids")
 
 
 def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", to: str = "decoded") -> DataFrame:
@@ -194,7 +196,7 @@ def decode(df: DataFrame, tokenizer: str, ids_col: str = "ids", to: str = "decod
                 texts = pa.array([bpe.decode(flat[a:b].tolist()) if ok else "" for a, b, ok in zip(ends, ends[1:], ids.is_valid().to_pylist())], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns, texts], names=[*columns, to])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*df.schema.fields, T.StructField(to, T.StringType())]))
 
 
 def digests(documents: DataFrame, tokenizer: str) -> DataFrame:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -79,6 +83,23 @@ def join_hot(left: DataFrame, right: DataFrame, keys: list[str], total: int, how
     return out.unionByName(left.where(" or ".join(f"{k} is null" for k in keys)), allowMissingColumns=True) if how == "left" else out
 
 
+def tidy(run: Callable[..., Iterator]) -> Callable[..., Iterator]:
+    """A function over batches that gives its memory back to the system when a partition ends: workers live on, and the
+    next stage's heap needs the room."""
+
+    @functools.wraps(run)
+    def tidied(batches):
+        yield from run(batches)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (OSError, AttributeError):  # another C library
+            pass
+
+    return tidied
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(30))

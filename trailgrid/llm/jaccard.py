@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, Scratch, mix
+from .common import WORD, Scratch, mix, tidy
 from .graph import components
 from .tokens import batch_numbers, sequence_numbers
 
@@ -252,7 +252,7 @@ def _dealt(members: DataFrame, small: DataFrame, scratch: Scratch) -> DataFrame:
         return whole
     again = _blocked(small.join(cut.select("rep", "comp", F.col("own").alias("block")), "rep"), "node", SKETCH_BLOCK)
     again = again.select("node", "bi", "bj", "own", "rep", "size", "sketch", "comp", "block").repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
-    met = scratch.keep(again.mapInArrow(_block_links, "comp long, bi long, bj long").distinct(), "blocks")
+    met = scratch.keep(again.mapInArrow(tidy(_block_links), "comp long, bi long, bj long").distinct(), "blocks")
     sides = met.select("comp", F.col("bi").alias("own"), "bi", "bj").unionAll(met.where("bi != bj").select("comp", F.col("bj").alias("own"), "bi", "bj"))
     return whole.unionByName(cut.join(sides, ["comp", "own"]))
 
@@ -283,7 +283,7 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
                     names=["id", "th", "size", "k1", "k2", "sketch", "nodes"],
                 )
 
-    signed = scratch.keep(rows.mapInArrow(sign, f"id {kind}, th long, size long, k1 long, k2 long, sketch binary, nodes array<long>"), "signed")
+    signed = scratch.keep(rows.mapInArrow(tidy(sign), f"id {kind}, th long, size long, k1 long, k2 long, sketch binary, nodes array<long>"), "signed")
     keys = ["k1", "k2", "size"]
     # One row a class walks on. Its number is fixed by being written.
     least = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "th"))
@@ -302,13 +302,13 @@ def join(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     small = leaves[0].unionAll(leaves[1]).unionAll(leaves[2])
     dealt = _blocked(small, "node", SKETCH_BLOCK).select("node", "bi", "bj", "own", "rep", "size", "sketch")
     met = dealt.repartition("node", "bi", "bj").sortWithinPartitions("node", "bi", "bj")
-    near = scratch.keep(components(met.mapInArrow(_sketch_links, "a long, b long"), "a", "b", scratch, "near"), "components")
+    near = scratch.keep(components(met.mapInArrow(tidy(_sketch_links), "a long, b long"), "a", "b", scratch, "near"), "components")
     scratch.release()
     members = near.withColumnRenamed("node", "rep").join(classes.select("rep", "size", "copies", "first", F.get("nodes", F.lit(0)).alias("c0")), "rep")
     dealt = _dealt(scratch.keep(members, "members"), small, scratch)
     texts = rows.join(members.select("rep", F.col("first.id").alias("mid"), F.col("first.th").alias("mth")), F.col("id").eqNullSafe(F.col("mid")) & (F.col("th") == F.col("mth"))).select("rep", "txt").dropDuplicates(["rep"])
     dealt = dealt.select("comp", "bi", "bj", "own", "rep", "copies").join(texts, "rep").select("comp", "bi", "bj", "own", "rep", "copies", "txt")
-    exact = scratch.keep(dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(_exact_links(N, THRESHOLD), "a long, b long, w long"), "exact")
+    exact = scratch.keep(dealt.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj").mapInArrow(tidy(_exact_links(N, THRESHOLD)), "a long, b long, w long"), "exact")
     scratch.drop("walk0", "walk1", "walk2", "components", "members", "cut", "blocks")
     roots = scratch.keep(components(exact.where("b is not null"), "a", "b", scratch, "links"), "roots").withColumnRenamed("node", "rep")
     counts = exact.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("w").alias("links"))

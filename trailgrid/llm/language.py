@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import unit
+from .common import tidy, unit
 
 #: Longest context in bytes.
 ORDER = 3
@@ -188,7 +188,7 @@ def _identified(documents: DataFrame, model: LanguageModel, text_col: str, carri
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = LanguageModel(*shared.value)
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found = [own.predict(x.as_py()) for x in batch.column(place)]
             made = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.float64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carried)], *made], names=names)
@@ -196,7 +196,7 @@ def _identified(documents: DataFrame, model: LanguageModel, text_col: str, carri
     fields = [T.StructField(n, documents.schema[c].dataType) for n, c in zip(names, carried)]
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_a_byte", T.DoubleType()), T.StructField("known", T.BooleanType())])
     given = [F.col(c).alias(n) for n, c in zip(names, carried)] + [F.col(text_col).alias("txt")] * (place == len(carried))
-    return documents.select(*given).mapInArrow(run, schema)
+    return documents.select(*given).mapInArrow(tidy(run), schema)
 
 
 def identify(documents: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

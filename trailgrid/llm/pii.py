@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import tidy
+
 #: Kinds in the order of results.
 BASE = ("email", "ip", "card", "phone")
 MORE = ("iban", "ssn", "secret")
@@ -168,12 +170,12 @@ def find(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     """(id_col, pii array<struct<kind, start, end, score>>) of every whole text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             found = [[dict(zip(("kind", "start", "end", "score"), s, strict=True)) for s in spans(x.as_py())] for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(_SPAN))], names=["key", "pii"])
 
     rows = documents.select(F.col(id_col).alias("key"), F.col(text_col).alias("txt"))
-    return rows.mapInArrow(run, T.StructType([T.StructField("key", documents.schema[id_col].dataType), T.StructField("pii", _SPANS)])).withColumnRenamed("key", id_col)
+    return rows.mapInArrow(tidy(run), T.StructType([T.StructField("key", documents.schema[id_col].dataType), T.StructField("pii", _SPANS)])).withColumnRenamed("key", id_col)
 
 
 def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
@@ -181,11 +183,11 @@ def mask(documents: DataFrame, text_col: str = "text") -> DataFrame:
     place, names = documents.columns.index(text_col), documents.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(at, 512) for b in batches for at in range(0, b.num_rows, 512)):
             texts = [t and masked(t, spans(t)) for t in (x.as_py() for x in batch.column(place))]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if i == place else c for i, c in enumerate(batch.columns)], names=names)
 
-    return documents.mapInArrow(run, documents.schema)
+    return documents.mapInArrow(tidy(run), documents.schema)
 
 
 def report(documents: DataFrame) -> DataFrame:

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, join_hot, mix
+from .common import Scratch, join_hot, mix, tidy
 from .tokens import batch_numbers, sequence_numbers, split_words, with_separators
 
 #: Words of a window; levels of the first round and of the second above it.
@@ -153,7 +153,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
                 sha = pa.array([_digest(split_words(t)) for t in texts], pa.string())
                 yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(level.counts, pa.int64()), sha, level.lists(level.counts >= window), pa.array(blind)], names=["id", "th", "tl", "n_words", "sha", "symbols", "blind"])
 
-    parsed = scratch.keep(rows.mapInArrow(parse, "id long, th long, tl long, n_words long, sha string, symbols array<long>, blind boolean"), "parsed")
+    parsed = scratch.keep(rows.mapInArrow(tidy(parse), "id long, th long, tl long, n_words long, sha string, symbols array<long>, blind boolean"), "parsed")
     firsts = parsed.groupBy("th", "tl").agg(F.min("id").alias("first"), F.count("*").alias("n"))
     known = scratch.keep(join_hot(parsed.select("id", "th", "tl", "n_words", "sha"), firsts, ["th", "tl"], parsed.count()), "known")
     once = parsed.where("n_words >= " + str(window)).select("id", "th", "tl", "symbols", "blind").join(firsts.select(F.col("first").alias("id"), "th", "tl"), ["id", "th", "tl"], "left_semi")
@@ -191,7 +191,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
                     yield pa.RecordBatch.from_arrays([c.take(take) for c in [*part.columns, level.lists()]], names=["id", "th", "txt", "shared", "symbols"])
 
     texts = rows.select("id", "th", "txt").join(marks, ["id", "th"]).dropDuplicates(["id", "th"])
-    opened = scratch.keep(texts.mapInArrow(deepen, "id long, th long, txt string, shared array<int>, symbols array<long>"), "opened")
+    opened = scratch.keep(texts.mapInArrow(tidy(deepen), "id long, th long, txt string, shared array<int>, symbols array<long>"), "opened")
     scratch.drop("marks")
     scratch.release()
     again = scratch.keep(shared_names(opened, "second").withColumnRenamed("shared", "above"), "above")
@@ -215,7 +215,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
                     yield pa.RecordBatch.from_arrays([*chosen.columns[:3], *(pa.ListArray.from_arrays(offsets, x) for x in lists)], names=["id", "th", "txt", "at", "number", "verify"])
 
     given = opened.drop("symbols").join(again, ["id", "th"], "left").withColumn("above", F.coalesce("above", F.array().cast("array<int>")))
-    numbered = scratch.keep(given.mapInArrow(number, "id long, th long, txt string, at array<int>, number array<long>, verify array<int>"), "numbered")
+    numbered = scratch.keep(given.mapInArrow(tidy(number), "id long, th long, txt string, at array<int>, number array<long>, verify array<int>"), "numbered")
     scratch.drop("opened", "above", "second names")
     scratch.release()
     windows = numbered.select("id", "th", F.explode(F.arrays_zip("at", "number", "verify")).alias("w")).select("id", "th", "w.at", "w.number", "w.verify")
@@ -238,7 +238,7 @@ def dedup(documents: DataFrame, window: int = WINDOW, rounds: int = ROUNDS, id_c
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *(pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.string(), span)))], names=["id", "th", "n_removed", "kept", "removed"])
 
     removed_kind = "array<struct<from:bigint,to:bigint>>"
-    partly = numbered.select("id", "th", "txt").join(hits, ["id", "th"]).mapInArrow(remove, f"id long, th long, n_removed long, kept string, removed {removed_kind}")
+    partly = numbered.select("id", "th", "txt").join(hits, ["id", "th"]).mapInArrow(tidy(remove), f"id long, th long, n_removed long, kept string, removed {removed_kind}")
     partly = scratch.keep(partly, "partly")
     scratch.release()
     whole = (F.col("id") > F.col("first")) & (F.col("n_words") >= window)
