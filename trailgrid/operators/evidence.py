@@ -24,14 +24,30 @@ RECOMPUTE = (
 )
 
 
+def needle(kind: Column, value: Column) -> Column:
+    """What is looked for: struct<number, short, head>: a value's number unless it is a text fact; a form of under two characters as it is, of a longer one the start."""
+    value = F.coalesce(value, F.lit(""))
+    form = match_form(value)
+    head = F.when(F.length(form) >= 8, F.left(form, F.lit(12))).otherwise(form)
+    return F.struct(F.when(kind != "text_fact", amount(value)).alias("number"), F.when(F.length(form) < 2, F.lower(strip(value))).alias("short"), head.alias("head"))
+
+
+def haystack(source: Column) -> Column:
+    """What it is looked for in: struct<numbers, form, low> of a text."""
+    source = F.coalesce(source, F.lit(""))
+    return F.struct(amounts_in(source).alias("numbers"), match_form(source).alias("form"), F.lower(source).alias("low"))
+
+
+def shows(hay: Column, sought: Column) -> Column:
+    """Whether a source shows a value: by its number, or else by containment."""
+    by_number = F.coalesce(F.exists(hay["numbers"], lambda v: F.abs(v - sought["number"]) < 1e-6), F.lit(False))
+    return by_number | F.when(sought["short"].isNotNull(), (hay["low"] != "") & F.contains(hay["low"], sought["short"])).otherwise(F.contains(hay["form"], sought["head"]))
+
+
 def value_match(kind: Column, value: Column, *sources: Column) -> Column:
     """Whether a value stands in a source: numbers by value, or else texts by containment (of long ones the first 12 characters do)."""
-    value, sources = F.coalesce(value, F.lit("")), [F.coalesce(s, F.lit("")) for s in sources]
-    target, form = amount(value), match_form(value)
-    by_number = (kind != "text_fact") & target.isNotNull() & any_of(*[F.exists(amounts_in(s), lambda v: F.abs(v - target) < 1e-6) for s in sources])
-    verbatim = any_of(*[(s != "") & F.contains(F.lower(s), F.lower(strip(value))) for s in sources])
-    head = F.when(F.length(form) >= 8, F.left(form, F.lit(12))).otherwise(form)
-    return F.coalesce(by_number, F.lit(False)) | F.when(F.length(form) < 2, verbatim).otherwise(any_of(*[F.contains(match_form(s), head) for s in sources]))
+    sought = needle(kind, value)
+    return any_of(*[shows(haystack(s), sought) for s in sources])
 
 
 def source_match(allowed: Column, observed: Column) -> Column:
@@ -80,11 +96,15 @@ def verified_at(items: DataFrame, steps: DataFrame, depth: int = 2) -> DataFrame
     sources array, tool, success). A derived item also needs its inputs verified before it: at an earlier step, or at
     the same one by an item that stands before. depth: how far derived items may rest on derived ones.
     """
-    seen = items.join(steps.where("success"), "sq").where(source_match(F.col("tables"), F.col("sources")))
-    raw = seen.where("kind != 'derived_value'").where(value_match(F.col("kind"), F.col("value"), F.col("text"), F.col("code")))
+    good = steps.where("success")
+    # Texts are read once a step and values once an item, before they meet; pairs only compare what was found.
+    sought = items.where("kind != 'derived_value'").select("sq", "item", "tables", needle(F.col("kind"), F.col("value")).alias("sought"))
+    shown = good.select("sq", "step", "sources", F.array(haystack(F.col("text")), haystack(F.col("code"))).alias("hay"))
+    raw = sought.join(shown, "sq").where(source_match(F.col("tables"), F.col("sources")) & F.exists("hay", lambda h: shows(h, F.col("sought"))))
     known = raw.groupBy("sq", "item").agg(F.min("step").alias("at"))
     places = items.select("sq", F.col("item").alias("input"), F.col("pos").alias("ipos"), amount(F.col("value")).alias("number"))
     derived = items.where("kind = 'derived_value'")
+    seen = derived.join(good, "sq").where(source_match(F.col("tables"), F.col("sources")))
     for _ in range(depth):
         rests = derived.select("sq", "item", "pos", F.posexplode_outer("inputs").alias("k", "input")).join(places, ["sq", "input"], "left").join(known.withColumnRenamed("item", "input"), ["sq", "input"], "left")
         # An input that stands behind its item counts from the step after.
@@ -92,8 +112,8 @@ def verified_at(items: DataFrame, steps: DataFrame, depth: int = 2) -> DataFrame
             F.max(F.col("at") + (F.col("ipos") > F.col("pos")).cast("int")).alias("from"), F.count_if(F.col("input").isNotNull() & F.col("at").isNull()).alias("open"),
             F.transform(F.array_sort(F.collect_list(F.when(F.col("number").isNotNull(), F.struct("k", "number")))), lambda x: x["number"]).alias("numbers"),
         ).where("open = 0")
-        shown = F.concat_ws(" ", "text", "code")
-        holds = operator_match(F.col("operation"), shown, F.col("tool")) & result_match(F.col("value"), F.col("operation"), F.col("numbers"), F.col("code"))
+        said = F.concat_ws(" ", "text", "code")
+        holds = operator_match(F.col("operation"), said, F.col("tool")) & result_match(F.col("value"), F.col("operation"), F.col("numbers"), F.col("code"))
         later = seen.join(ready, ["sq", "item"]).where(F.col("step") >= F.coalesce("from", F.lit(0))).where(holds).groupBy("sq", "item").agg(F.min("step").alias("at"))
         known = known.unionByName(later).groupBy("sq", "item").agg(F.min("at").alias("at"))
     return items.join(known, ["sq", "item"], "left")
@@ -107,20 +127,34 @@ def coverage(verified: DataFrame) -> DataFrame:
     return per.join(total, "sq").select("sq", "step", (upto / F.col("all")).alias("coverage"), (F.col("w") / F.col("all")).alias("gain"))
 
 
-def claim_confidence(claim: Column, point: Column) -> Column:
-    """How surely a claim says what a point asks: equal, one in the other, numbers shared, first 12 characters held; 0 if none."""
-    c, p = match_form(claim), match_form(point)
-    x, y = F.array_distinct(amounts_in(claim)), F.array_distinct(amounts_in(point))
+def claim_parts(text: Column) -> Column:
+    """What claims and points are compared by: struct<given, form, numbers>."""
+    return F.struct((F.coalesce(text, F.lit("")) != "").alias("given"), match_form(text).alias("form"), F.array_distinct(amounts_in(text)).alias("numbers"))
+
+
+def parts_confidence(claim: Column, point: Column) -> Column:
+    """How surely a claim says what a point asks, of their parts."""
+    c, p, x, y = claim["form"], point["form"], claim["numbers"], point["numbers"]
     common = F.size(F.array_intersect(x, y))
     return (
-        F.when((F.coalesce(claim, F.lit("")) == "") | (p == ""), 0.0).when(c == p, 1.0).when((F.length(c) >= 4) & F.contains(p, c), 0.9).when((F.length(p) >= 4) & F.contains(c, p), 0.8)
+        F.when(~claim["given"] | (p == ""), 0.0).when(c == p, 1.0).when((F.length(c) >= 4) & F.contains(p, c), 0.9).when((F.length(p) >= 4) & F.contains(c, p), 0.8)
         .when((F.size(y) > 0) & (common >= F.size(y)), 0.95).when(common > 0, 0.7).when((F.length(p) >= 8) & F.contains(c, F.left(p, F.lit(12))), 0.6).otherwise(0.0)
     )
 
 
+def claim_confidence(claim: Column, point: Column) -> Column:
+    """How surely a claim says what a point asks: equal, one in the other, numbers shared, first 12 characters held; 0 if none."""
+    return parts_confidence(claim_parts(claim), claim_parts(point))
+
+
 def best_claims(points: DataFrame, claims: DataFrame, key: str = "sq") -> DataFrame:
-    """points (key, point_no, point) with the number and confidence of the best claim (key, claim_no, claim), the first of equals."""
-    scored = points.join(claims, key, "left").withColumn("confidence", F.coalesce(claim_confidence(F.col("claim"), F.col("point")), F.lit(0.0)))
+    """points (key, point_no, point) with the number and confidence of the best claim (key, claim_no, claim), the first of equals.
+
+    Texts are read once each, before points meet claims; pairs compare what was found and are folded where they are made.
+    """
+    asked = points.select(key, "point_no", claim_parts(F.col("point")).alias("p"))
+    told = claims.select(key, "claim_no", claim_parts(F.col("claim")).alias("c"))
+    scored = asked.join(told, key, "left").withColumn("confidence", F.when(F.col("c").isNotNull(), parts_confidence(F.col("c"), F.col("p"))).otherwise(0.0))
     best = F.max_by("claim_no", F.struct("confidence", -F.col("claim_no")))
     return scored.groupBy(key, "point_no").agg(F.max("confidence").alias("confidence"), F.when(F.max("confidence") > 0, best).alias("claim_no"))
 
