@@ -16,24 +16,21 @@ def return_to_go(rewards: Column, answer: Column, gamma: float = 0.95, kappa: fl
 def returns(steps: DataFrame, key: str, order: list[str], reward: str, gamma: float = 0.95, block: int = 128) -> DataFrame:
     """steps with `g`, the discounted sum of a step's own reward and all that follow it within the key.
 
-    A key's steps are cut into blocks: sums within a block are windows of at most `block` rows, and what follows a block
-    comes from one sum a block. No row ever holds a key's whole history, and powers of gamma stay within a block.
+    A key's steps are cut into blocks of at most `block` rows, each folded by itself; what follows a block comes from one
+    number a block. No row ever holds a key's whole history.
     """
     t = F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1
-    placed = steps.withColumn("_t", t).withColumns({"_b": F.floor(F.col("_t") / block), "_i": F.col("_t") % block})
-    power = F.pow(F.lit(float(gamma)), F.col("_i"))
-    # From the last step of a block back, so that each sum adds one row to the one before.
-    back = Window.partitionBy(key, "_b").orderBy(F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
-    within = placed.withColumn("_s", F.sum(F.col(reward) * power).over(back))
-    sums = within.groupBy(key, "_b").agg(F.max_by("_s", -F.col("_i")).alias("_whole"), (F.max("_i") + 1).alias("_n"))
+    placed = steps.select(key, t.alias("_t"), F.struct(*steps.columns).alias("_x")).withColumn("_b", F.floor(F.col("_t") / block))
+    rows = placed.groupBy(key, "_b").agg(F.transform(F.array_sort(F.collect_list(F.struct("_t", "_x"))), lambda r: r["_x"]).alias("_xs"))
+    worth = F.transform("_xs", lambda x: x[reward].cast("double"))
+    sums = rows.select(key, "_b", F.size("_xs").alias("_n"), F.get(return_to_go(worth, F.lit(0.0), gamma), F.lit(0)).alias("_whole"))
     fold = F.aggregate(
         F.reverse(F.array_sort(F.collect_list(F.struct("_b", "_whole", "_n")))), F.struct(F.lit(0.0).alias("g"), F.array().cast("array<struct<_b:bigint,after:double>>").alias("done")),
         lambda a, x: F.struct((x["_whole"] + F.pow(F.lit(float(gamma)), x["_n"]) * a["g"]).alias("g"), F.concat(a["done"], F.array(F.struct(x["_b"].alias("_b"), a["g"].alias("after")))).alias("done")),
     )
     after = sums.groupBy(key).agg(fold.alias("f")).select(key, F.inline("f.done"))
-    left = sums.select(key, "_b", "_n")
-    g = (F.col("_s") + F.pow(F.lit(float(gamma)), F.col("_n")) * F.col("after")) / power
-    return within.join(left, [key, "_b"]).join(after, [key, "_b"]).withColumn("g", g).drop("_t", "_b", "_i", "_s", "_n", "after")
+    made = rows.join(after, [key, "_b"]).select(F.explode(F.arrays_zip(F.col("_xs").alias("x"), return_to_go(worth, F.col("after"), gamma).alias("g"))).alias("z"))
+    return made.select("z.x.*", "z.g")
 
 
 def group_zscore(df: DataFrame, value: str, *keys: str, eps: float = 1e-8) -> DataFrame:

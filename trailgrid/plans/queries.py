@@ -156,10 +156,10 @@ def repeat_calls(s, d):
     return e.select("event_id", (again & (F.col("value") < 50)).alias("repeated"))
 
 
-@query("call_conflicts", f"select user_id, event_type, count(distinct {_SIGNATURE} || value::bigint % 2) as variants from events group by user_id, event_type having count(distinct {_SIGNATURE} || value::bigint % 2) > 1")
+@query("call_conflicts", f"select user_id, event_type, count(distinct {_SIGNATURE} || floor(value)::bigint % 2) as variants from events group by user_id, event_type having count(distinct {_SIGNATURE} || floor(value)::bigint % 2) > 1")
 def call_conflicts(s, d):
     """Types stand for call ids; an id conflicts with another signature or another observation (odd and even values)."""
-    e = read(s, d, "events").withColumn("seen", F.struct(checks.call_signature(F.col("event_type"), F.col("props")), (F.round("value").cast("long") % 2)))
+    e = read(s, d, "events").withColumn("seen", F.struct(checks.call_signature(F.col("event_type"), F.col("props")), (F.floor("value") % 2)))
     return e.groupBy("user_id", "event_type").agg(F.count_distinct("seen").alias("variants")).where("variants > 1")
 
 
