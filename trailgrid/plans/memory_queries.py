@@ -148,13 +148,13 @@ def answer_rewards(s, d):
 
 @query("checked_values", "select o_orderkey, o_orderkey % 4 in (0, 1) as value_ok, o_orderkey % 3 <> 2 as source_ok, o_custkey % 3 > 0 as operator_ok, o_orderkey % 2 = 0 as result_ok from orders")
 def checked_values(s, d):
-    """A price by number and as text, one that is absent and a long text that is; sources that fit, are not asked for, or differ; operations that code shows; sums that follow."""
+    """A price by number and as text, one that is absent and a long text that is; sources that fit, are not asked for, or differ; operations that code shows; sums that follow, and ones thrice as large, which no key brings within the tolerance."""
     k, price = F.col("o_orderkey"), F.floor("o_totalprice")
     kind, value = F.when(k % 2 == 0, "raw_value").otherwise("text_fact"), F.when(k % 4 == 0, price.cast("string")).when(k % 4 == 1, _say("Order No. ", k)).when(k % 4 == 2, "987654321098").otherwise("a text of which nothing was ever seen")
     ok = evidence.value_match(kind, value, _say("order no. ", k, " costs ", price, "元"))
     source = evidence.source_match(F.when(k % 3 == 0, F.array(F.lit("Orders.xlsx"))).when(k % 3 == 2, F.array(F.lit("parts.csv"))), F.array(F.lit("d/orders.xlsx")))
     operator = evidence.operator_match(F.when(F.col("o_custkey") % 3 > 0, "sum").otherwise("占比"), F.lit("the total of all"), F.lit("reader"))
-    result = evidence.result_match(F.when(k % 2 == 0, (price + k).cast("string")).otherwise((price * 3 + k).cast("string")), F.lit("sum"), F.array(price.cast("double"), k.cast("double")), F.lit(""))
+    result = evidence.result_match(F.when(k % 2 == 0, (price + k).cast("string")).otherwise(((price + k) * 3 + 1).cast("string")), F.lit("sum"), F.array(price.cast("double"), k.cast("double")), F.lit(""))
     return read(s, d, "orders").select("o_orderkey", ok.alias("value_ok"), source.alias("source_ok"), operator.alias("operator_ok"), result.alias("result_ok"))
 
 
