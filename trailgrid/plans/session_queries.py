@@ -144,10 +144,14 @@ def reevaluated(s, d):
 
 @query("unseen_numbers", "select o_orderkey, case o_orderkey % 4 when 0 then [] when 1 then [(floor(o_totalprice) + 1)::double] when 2 then [-(o_custkey % 90 + 100)::double] else [7.0] end as unseen from orders")
 def unseen_numbers(s, d):
-    """Answers by k % 4: a price that was seen, one that was not, a fall whose rise was seen, a difference of two seen values (of which only the bare number counts as unseen)."""
+    """Answers by k % 4: a price that was seen, one that was not, a fall whose rise was seen, a difference of two seen values (of which only the bare number counts as unseen).
+
+    What is seen beside it has halves, so that no whole price or rate meets it by chance.
+    """
     k, price, c = F.col("o_orderkey"), F.floor("o_totalprice"), F.col("o_custkey") % 90 + 100
     answer = F.when(k % 4 == 0, _say("共", price, "元，上年=100")).when(k % 4 == 1, _say("共", price + 1, "元")).when(k % 4 == 2, _say("下降", c, "%")).otherwise("相差 7 个百分点")
-    seen = F.array(_say("total ", price), _say("增长", c, "%"), _say("rates ", c + 1000, " and ", c + 1007))
+    half = lambda *asked: F.when((k % 4).isin(*asked), "").otherwise(".5")
+    seen = F.array(_say("total ", price, half(0, 1)), _say("增长", c, half(2), "%"), _say("rates ", c + 1000, ".5 and ", c + 1007, ".5"))
     return read(s, d, "orders").select("o_orderkey", checks.unseen_numbers(answer, seen).alias("unseen"))
 
 
